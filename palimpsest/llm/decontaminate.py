@@ -28,7 +28,8 @@ WINDOW = 10
 #: Words of one automaton; a larger benchmark is dealt into blocks of whole items, one automaton each.
 BLOCK_WORDS = 2_000_000
 
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: On the text before its letters are lowered.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: On UTF-8 bytes: A-Z to a-z, every other ASCII byte that is not a word's to a space.
 _FOLD = bytes(
     b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256)
