@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import decontaminate
+from palimpsest.llm import dac, decontaminate, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_decontaminate": decontaminate.op7_decontaminate,
+    "op8_pack": packing.op8_pack,
+    "op10_token_files": dac.op10_token_files,
 }
 
 SQL: dict[str, str] = {
