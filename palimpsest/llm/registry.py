@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import dac, decontaminate, packing
+from palimpsest.llm import dac, decontaminate, packing, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": urlfilter.op3_url_filter,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_pack": packing.op8_pack,
     "op10_token_files": dac.op10_token_files,
 }
 
 SQL: dict[str, str] = {
+    "op3_url_filter": urlfilter.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
 }
