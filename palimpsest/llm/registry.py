@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import dac, decontaminate, langid, packing, urlfilter
+from palimpsest.llm import dac, decontaminate, langid, packing, pii, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_filter": urlfilter.op3_url_filter,
+    "op4_pii": pii.op4_pii,
     "op6_language": langid.op6_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_pack": packing.op8_pack,
