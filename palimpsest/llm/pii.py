@@ -19,6 +19,8 @@ no rows; only the named columns are read, so further columns cannot clash.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,28 +71,43 @@ _RUN = 128
 _SPAN = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
-def _ends(lengths: Column) -> Column:
-    """Running sums, in runs of _RUN so that long arrays take no quadratic time."""
-    n = F.size(lengths)
-    plus = lambda a, b: a + b
-    bases = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _RUN).cast("int")), lambda r: F.aggregate(F.slice(lengths, F.lit(1), r * _RUN), F.lit(0), plus))
-    return F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.element_at(bases, F.floor(i / _RUN).cast("int") + 1) + F.aggregate(F.slice(lengths, F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN + 1), F.lit(0), plus),
-    )
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, not again for each element that a lambda in body visits."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """Running sums or maxima of non-negative values, in runs of _RUN so that long arrays take no quadratic time."""
+    n = F.size(values)
+    over = lambda part: F.aggregate(part, F.lit(0), merge)
+    sums = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / _RUN).cast("int")), lambda r: over(F.slice(values, r * _RUN + 1, F.lit(_RUN))))
+
+    def ends(sums: Column) -> Column:
+        before = F.transform(F.sequence(F.lit(0), F.size(sums) - 1), lambda r: over(F.slice(sums, F.lit(1), r)))
+        return _let(before, lambda firsts: F.transform(F.sequence(F.lit(0), n - 1), lambda i: merge(F.get(firsts, F.floor(i / _RUN).cast("int")), over(F.slice(values, F.floor(i / _RUN).cast("int") * _RUN + 1, i % _RUN + 1)))))
+
+    return _let(sums, ends)
 
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """Array of (start, rank, kind, end, value), in code points, of the matches that hold."""
-    rank = KINDS.index(kind)
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    # The end of match i is the length of all gaps and matches up to it.
-    ends = _ends(F.zip_with(F.slice(gaps, F.lit(1), F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m)))
-    spans = F.zip_with(
-        matches, ends,
-        lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")),
-    )
-    return F.when(F.size(matches) > 0, F.filter(spans, lambda s: _holds(kind, s["value"])).cast(_SPAN)).otherwise(F.array().cast(_SPAN))
+    rank, plus = KINDS.index(kind), lambda a, b: a + b
+
+    def placed(both: Column) -> Column:
+        matches, sizes = both["matches"], both["sizes"]
+        # The end of match i is the length of all gaps and matches up to it.
+        spans = F.zip_with(
+            matches, _running(sizes, plus),
+            lambda m, e: F.struct((e - F.length(m)).alias("start"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"), e.alias("end"), m.alias("value")),
+        )
+        return F.filter(spans, lambda s: _holds(kind, s["value"])).cast(_SPAN)
+
+    def sized(matches: Column) -> Column:
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(matches))
+        sizes = F.zip_with(gaps, matches, lambda g, m: F.length(g) + F.length(m))
+        return F.when(F.size(matches) > 0, _let(F.struct(matches.alias("matches"), sizes.alias("sizes")), placed)).otherwise(F.array().cast(_SPAN))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), sized)
 
 
 def base_spans(text: Column) -> Column:
@@ -168,19 +185,21 @@ def _context(text: Column, base: Column) -> Column:
 def rewritten(text: Column, spans: Column, generalise: bool = True) -> Column:
     """The text with each span replaced by its kind; terms are generalised to [TERM] or removed. Of spans that
     overlap, the first is written, and the text goes on after the end of them all."""
-    ends = F.transform(spans, lambda s: s["end"])
-    n = F.size(spans)
-    seen = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.array_max(F.slice(ends, F.lit(1), i)))
     mark = lambda s: F.when((s["kind"] == "term") & F.lit(not generalise), "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-    parts = F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.when(
-            F.element_at(spans, i + 1)["start"] >= seen(i),
-            F.concat(F.substring(text, seen(i) + 1, F.element_at(spans, i + 1)["start"] - seen(i)), mark(F.element_at(spans, i + 1))),
-        ).otherwise(""),
-    )
-    tail = F.substring(text, F.array_max(ends) + 1, F.length(text))
-    return F.when((n > 0) & text.isNotNull(), F.concat(F.array_join(parts, ""), tail)).otherwise(text)
+
+    def written(ends: Column) -> Column:
+        """ends: where the text goes on after each span and those before it."""
+
+        def part(i: Column) -> Column:
+            own, at = F.get(spans, i), F.when(i == 0, F.lit(0)).otherwise(F.get(ends, i - 1))
+            return F.when(own["start"] >= at, F.concat(F.substring(text, at + 1, own["start"] - at), mark(own))).otherwise("")
+
+        n = F.size(spans)
+        tail = F.substring(text, F.get(ends, n - 1) + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), part), ""), tail)
+
+    done = _let(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), written)
+    return F.when((F.size(spans) > 0) & text.isNotNull(), done).otherwise(text)
 
 
 def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", generalise: bool = True, witnesses: int = WITNESSES, disclosure: float = DISCLOSURE) -> DataFrame:
