@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import dac, decontaminate, langid, packing, pii, urlfilter
+from palimpsest.llm import dac, decontaminate, html, langid, packing, pii, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_html_text": html.op2_html_text,
     "op3_url_filter": urlfilter.op3_url_filter,
     "op4_pii": pii.op4_pii,
     "op6_language": langid.op6_language,
