@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import dac, decontaminate, html, langid, packing, pii, urlfilter
+from palimpsest.llm import dac, decontaminate, html, jaccard, langid, packing, pii, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": html.op2_html_text,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": langid.op6_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_pack": packing.op8_pack,
+    "op9_jaccard": jaccard.op9_jaccard,
     "op10_token_files": dac.op10_token_files,
 }
 
