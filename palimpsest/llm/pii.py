@@ -3,9 +3,9 @@
 Patterns find e-mail addresses, IP addresses, card and phone numbers; these are the protected entities. A
 term near an entity reveals it as far as the corpus shows that the two go together: the disclosure of entity
 e by term t is PMI(t; e) / IC(e), with IC(e) = -log2 p(e) and PMI(t; e) = log2(p(t, e) / (p(t) p(e))), where
-p(t) and p(e) are shares of all documents. It is 1 where t is found with e alone, and 0 where t says nothing
-of e. p(t, e) counts distinct surroundings of e, so copies of one text are one witness. Terms above the
-threshold, with enough witnesses, are sanitised wherever they stand near that entity: generalised to
+p(t), p(e) and p(t, e) (t near e) are shares of all documents. It is 1 where t is found with e alone, and 0
+where t says nothing of e. Witnesses are distinct surroundings of e that hold t, so copies of one text are one.
+Terms above the threshold, with enough witnesses, are sanitised wherever they stand near that entity: generalised to
 [TERM], or removed.
 
 All of it is DataFrame functions. A text is parted by a pattern with split(), and the matches' places are the
@@ -13,7 +13,7 @@ running sums of the lengths.
 
 Cases: null and empty texts have no data; all of a very long text is searched; the patterns take time in
 proportion to the text (possessive, and started at the first character of a run only); repeated rows are
-each reported, and count as one document for the statistics if their texts are equal; an empty table gives
+each reported; an empty table gives
 no rows; only the named columns are read, so further columns cannot clash.
 """
 
@@ -126,20 +126,22 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def disclosing_terms(docs: DataFrame, near: DataFrame, *, text_col: str, witnesses: int, disclosure: float) -> DataFrame | None:
+def disclosing_terms(docs: DataFrame, found: DataFrame, *, text_col: str, witnesses: int, disclosure: float) -> DataFrame | None:
     """(entity, term) above the threshold; None where no term has enough witnesses (nothing more is read then)."""
-    joint = near.groupBy("entity", "term").agg(F.countDistinct("near").alias("n"), F.countDistinct("hash").alias("n_te")).filter(F.col("n") >= witnesses)
-    joint = stage(joint, "pii-joint")
+    pairs = F.array_distinct(F.flatten(F.transform("context", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["term"].alias("term"))))))
+    n_te = found.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= witnesses)
+    seen = found.select(F.explode("context").alias("c")).select("c.entity", "c.near", F.explode("c.terms.term").alias("term")).distinct()
+    seen = seen.groupBy("entity", "term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= witnesses)
+    joint = stage(n_te.join(seen, ["entity", "term"]), "pii-joint")
     rows = joint.count()
     if not rows:
         return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_TERM), F.lit(0)))).alias("term"), F.xxhash64(text_col).alias("hash"))
-    seen = words.join(_small(joint.select("term").distinct(), rows), "term", "left_semi")
-    n_t = seen.groupBy("term").agg(F.countDistinct("hash").alias("n_t"))
-    n_e = near.join(_small(joint.select("entity").distinct(), rows), "entity", "left_semi").groupBy("entity").agg(F.countDistinct("hash").alias("n_e"))
-    total = docs.select(F.approx_count_distinct(F.xxhash64(text_col), 0.01)).first()[0]
-    n = F.lit(float(max(total, 2)))
-    known = joint.join(n_t, "term").join(n_e, "entity")
+    # Counted for all terms before the join: its rows follow the terms, not the places where they stand.
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_TERM), F.lit(0)))).alias("term"))
+    n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
+    n_e = found.select(F.explode(F.array_distinct("context.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
+    n = F.lit(float(max(found.count(), 2)))
+    known = n_t.join(_small(joint, rows), "term").join(n_e, "entity")
     ic = F.log2(n / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
     return known.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
@@ -149,12 +151,12 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", wit
     """id, hash (of the text), base and spans (arrays of start, rank, kind, end, value), a row per document."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"))
     found = stage(own.withColumn("base", base_spans(F.col("__text"))).withColumn("hash", F.xxhash64("__text")).select("doc", "hash", "base", _context(F.col("__text"), F.col("base")).alias("context")), "pii-base")
-    near = found.select("doc", "hash", F.explode("context").alias("c")).select("doc", "hash", "c.entity", "c.near", F.explode("c.terms").alias("t")).select("doc", "hash", "entity", "near", "t.term", "t.start", "t.end")
-    flagged = disclosing_terms(docs, near, text_col=text_col, witnesses=witnesses, disclosure=disclosure)
+    flagged = disclosing_terms(docs, found, text_col=text_col, witnesses=witnesses, disclosure=disclosure)
     if flagged is None:
         return found.select(F.col("doc").alias(id_col), "hash", "base", F.col("base").alias("spans"))
     flagged = stage(flagged, "pii-terms")
-    hits = near.select("hash", "entity", "term", "start", "end").distinct().join(_small(flagged, flagged.count()), ["entity", "term"])
+    near = found.select("hash", F.explode("context").alias("c")).select("hash", "c.entity", F.explode("c.terms").alias("t")).select("hash", "entity", "t.*")
+    hits = near.distinct().join(_small(flagged, flagged.count()), ["entity", "term"])
     span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))
     # Equal texts have equal spans, so the hash of a text is key enough, and a row of them is as long as a text.
     extra = hits.groupBy("hash").agg(F.collect_set(span).cast(_SPAN).alias("extra"))

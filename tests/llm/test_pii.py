@@ -79,7 +79,7 @@ def test_disclosing_terms_are_generalised(spark):
 def test_disclosure_is_that_of_the_counts(spark):
     docs = pool(spark)
     found = {r.doc_id: r for r in pii.find(docs, disclosure=0.0).collect()}
-    # of 4 texts with the entity, of 20 texts: "memo" in 16, so PMI / IC = log2(4*20/(16*4)) / log2(20/4) > 0
+    # the entity in 5 of 23 rows, "memo" in 17 of them: PMI / IC = log2(5*23/(17*5)) / log2(23/5) > 0
     assert {"memo", "zorblatt", "wrote"} <= {s.value for s in found[0].spans if s.kind == "term"}
 
 
