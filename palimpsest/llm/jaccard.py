@@ -4,8 +4,9 @@ A document's set is a sorted array of 64-bit shingle hashes. Equal sets are one
 enough have a shingle in common among the first quarter (and one) of each in any fixed order; with
 frequent shingles last in that order, few other sets share one. Sets that share one meet in a tile:
 
-1. Star: in each tile one member is drawn, by the hash of the shingle and the member, and the others are
-   compared with it. As each shingle draws another, near copies meet many members of their group.
+1. Stars: in each tile the member of the smallest hash is drawn, under one of several hashes, and a set is
+   compared with the one that was drawn most often in its tiles: one pair for each set and hash. Later hashes
+   are for sets that are not yet in one component with their star.
 2. What is left: tiles whose members are by then in more than one component are compared whole, but only pairs
    of different components, in size bands (a set of fewer than 3/4 of the other's shingles can't be
    similar) and, where a tile is large, in blocks of it.
@@ -43,9 +44,11 @@ FREQUENT = 24
 FREQUENT_KEPT = 1 << 17
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1 << 19
+#: Rounds of stars, each of so many hashes.
+ROUNDS = ((0, 1), (2, 3))
 #: Members of a block of a large tile.
 BLOCK = 2048
-#: Needed texts up to which their hashes are broadcast; more are joined by a shuffle.
+#: Rows of ids up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -153,9 +156,12 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fre
 
 
 def _tiles(sets: DataFrame, keys: int) -> DataFrame:
-    """key, node, star for every key that more than one node has; star: the member that the others are compared with."""
+    """key, node, star0, star1, ... for every key that more than one node has."""
+    draws = [d for drawn in ROUNDS for d in drawn]
     buckets = max(keys // BUCKET_KEYS, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
+    names = ["key", "node", *[f"star{d}" for d in draws]]
+
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = [np.frombuffer(x, dtype=np.uint64) for x in batch.column(1).to_pylist()]
@@ -180,17 +186,43 @@ def _tiles(sets: DataFrame, keys: int) -> DataFrame:
         while got:
             halves = [np.frombuffer(d, dtype=np.uint64).reshape(2, -1) for d in got.popitem()[1]]
             both = np.concatenate(halves, axis=1)
-            order = np.lexsort((mixed(both[0] ^ both[1]), both[0]))  # by key, the drawn member first
+            order = np.lexsort((both[1], both[0]))
             hashes, nodes = both[0][order], both[1][order]
             new = np.concatenate(([True], (hashes[1:] != hashes[:-1]) | (nodes[1:] != nodes[:-1])))
             hashes, nodes = hashes[new], nodes[new]
             first = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
             sizes = np.diff(np.append(first, len(hashes)))
-            stars, many = np.repeat(nodes[first], sizes), np.repeat(sizes > 1, sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(x[many].view(np.int64)) for x in (hashes, nodes, stars)], names=["key", "node", "star"])
+            many = np.repeat(sizes > 1, sizes)
+            hashes, nodes, sizes = hashes[many], nodes[many], sizes[sizes > 1]
+            if not len(hashes):
+                continue
+            first, stars = np.cumsum(sizes) - sizes, []
+            for d in draws:
+                drawn = mixed(nodes + np.uint64(d + 1) * np.uint64(_BASE))
+                least = np.repeat(np.minimum.reduceat(drawn, first), sizes)
+                stars.append(np.repeat(nodes[drawn == least], sizes))  # one node has a hash: mixed() is one to one
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (hashes, nodes, *stars)], names=names)
 
     dealt = sets.select("node", "keys").mapInArrow(deal, "bucket long, data binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, "key long, node long, star long")
+    return dealt.repartition(buckets, "bucket").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
+
+
+def _stars(tiles: DataFrame, drawn: tuple[int, ...], labels: DataFrame | None) -> DataFrame:
+    """(a, b): each node and the star that it has in most of its tiles, if they are not of one component yet."""
+    out = None
+    for d in drawn:
+        counted = tiles.select("node", F.col(f"star{d}").alias("star")).filter("node <> star").groupBy("node", "star").count()
+        best = counted.groupBy("node").agg(F.max_by("star", F.struct("count", "star")).alias("star"))
+        out = best if out is None else out.union(best)
+    if labels is not None:
+        of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+        out = out.join(of("node"), "node", "left").join(of("star"), "star", "left")
+        out = out.filter(~F.coalesce("label_node", "node").eqNullSafe(F.coalesce("label_star", "star")))
+    return out.select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
+
+
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -212,8 +244,7 @@ def _arrays(docs: DataFrame, needed: DataFrame, text_col: str, k: int) -> DataFr
             nodes = [int.from_bytes(hashlib.blake2b(h.tobytes(), digest_size=16).digest()[:8], "little", signed=True) for h in sets]
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
 
-    needed = needed.select("text_hash")
-    side = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
+    side = _small(needed.select("text_hash"))
     texts = docs.select(F.col(text_col).alias("t")).withColumn("text_hash", F.xxhash64("t")).join(side, "text_hash", "left_semi")
     # Copies of a text are equal rows: one of each partition goes on, and one of all stays.
     return texts.select("t").mapInArrow(run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
@@ -230,8 +261,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     arrays = stage(_arrays(docs, nodes.join(wanted, "node", "left_semi"), text_col, k), "arrays")
-    of = lambda x: arrays.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}"))
-    return pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    # Pairs are ids alone, and few: they go to where the arrays are, so that of each pair one array travels.
+    of = lambda x, with_: with_.join(arrays.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")), x)
+    others = of("b", _small(pairs)).hint("merge")
+    return others.join(of("a", _small(pairs.select("a").distinct())), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
@@ -279,30 +312,52 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """A row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
+def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """A row per document: id, text_hash, n (shingles), label (the same for a component; null for empty sets)."""
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select(text_col), words))
     sets = stage(_sets(docs, id_col, text_col, words, percent, frequent), "sets")
     filled = sets.filter("n > 0")
-    grouped = filled.groupBy("node").agg(F.min(id_col).alias("least"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("text_hash").alias("text_hash"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    grouped = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("text_hash").alias("text_hash"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     nodes = stage(grouped, "nodes")
     if nodes.filter("lo <> hi").limit(1).count():
         raise RuntimeError("two different sets have one 64-bit node id")
     keys = filled.agg(F.sum(F.octet_length("keys")) / 8).first()[0]
     tiles = stage(_tiles(filled, int(keys or 0)), "tiles")
-    star = tiles.filter("node <> star").select(F.least("node", "star").alias("a"), F.greatest("node", "star").alias("b")).distinct()
-    tried = stage(_near(star, nodes, percent), "pairs")
-    links = stage(_verified(tried, docs, nodes, text_col, words, percent), "links")
-    labels = components(links)
+    tried = links = labels = None
+    for drawn in ROUNDS:
+        pairs = _stars(tiles, drawn, labels)
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = stage(_near(pairs, nodes, percent), "pairs")
+        found = stage(_verified(pairs, docs, nodes, text_col, words, percent), "found")
+        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
+        labels = components(links)
     left = stage(_open_pairs(tiles, nodes, labels, percent).join(tried, ["a", "b"], "left_anti"), "open")
     if left.limit(1).count():
         labels = components(links.union(_verified(left, docs, nodes, text_col, words, percent)))
-    labelled = nodes.join(labels, "node", "left").select("node", "least", F.coalesce("label", "node").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "label").select("node", "component_id")
-    joined = sets.select(id_col, "n", "node").join(named, "node", "left")
+    named = sets.join(labels, "node", "left")
+    return named.select(id_col, "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
+
+
+def join(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """A row per document: id, n_shingles, component_id (the smallest id reachable by links)."""
+    rows = stage(labelled(docs, id_col=id_col, **options), "labelled")
+    least = rows.filter("n > 0").groupBy("label").agg(F.min(id_col).alias("component_id"))
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(id_col))
-    return joined.select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return rows.join(least, "label", "left").select(id_col, F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The document of the smallest id of each component (a null id comes last); documents without words stay."""
+    rows = stage(labelled(docs, id_col=id_col, text_col=text_col, **options), "labelled")
+    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("m")
+    kept = rows.filter("n > 0").groupBy("label").agg(first).select(F.col("m.id").alias("__id"), F.col("m.text_hash").alias("__hash"))
+    kept = kept.union(rows.filter("n = 0").select(id_col, "text_hash").distinct())
+    hashed = docs.withColumn("__own", F.xxhash64(text_col))
+    out = hashed.join(kept, (F.col("__own") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    if rows.filter("n > 0").groupBy(id_col, "text_hash").count().filter("count > 1").limit(1).count():
+        empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        out = out.filter(empty).union(out.filter(~empty).dropDuplicates([id_col, "__own"]))
+    return out.drop("__own")
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
