@@ -211,17 +211,20 @@ def decontaminate(
     window: int = WINDOW,
     max_coverage: float = 0.5,
     min_span: int = 1,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """A row per document: its words, hits and items, the text without the spans of at least `min_span`
+    """A row per document: id, keep..., its words, hits and items, the text without the spans of at least `min_span`
     hit words (`clean_text`), and whether over `max_coverage` of its words are hit (`drop`)."""
     auto_var = docs.sparkSession.sparkContext.broadcast(automata(benchmark_rows(benchmark, item_col, text_col), window))
-    id_type = docs.schema[id_col].dataType.simpleString()
+    kept = list(dict.fromkeys([id_col, *keep]))
+    if taken := {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text", "drop"} & set(kept):
+        raise ValueError(f"these columns cannot be kept beside the result's: {sorted(taken)}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         autos = auto_var.value
         for batch in batches:
             rows = []
-            for text in batch.column(1).cast(pa.binary()).to_pylist():
+            for text in batch.column(len(kept)).cast(pa.binary()).to_pylist():
                 n, hit, items = scan_text(text, autos)
                 n_hit = sum(hit)
                 clean = None if text is None else text.decode()
@@ -235,10 +238,11 @@ def decontaminate(
             names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text", "drop"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=[id_col, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *cols], names=[*kept, *names])
 
-    schema = f"`{id_col}` {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, drop boolean"
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    head = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    schema = f"{head}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, drop boolean"
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
