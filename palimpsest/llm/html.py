@@ -195,7 +195,9 @@ def extract(page: str | None, weight: dict[str, float]) -> str:
 def fit(pages: DataFrame, *, html_col: str = "html") -> dict[str, float]:
     """Weights from the labelled pages with the smallest hashes: the driver holds SAMPLE_PAGES * SAMPLE_BYTES at most."""
     labelled = pages.select(F.col(html_col).alias("h")).filter((F.octet_length("h") <= SAMPLE_BYTES) & F.col("h").rlike("(?i)<(article|main)[ >]"))
-    return weights(r.h for r in labelled.orderBy(F.xxhash64("h"), "h").limit(SAMPLE_PAGES).collect())
+    hashed = labelled.withColumn("x", F.xxhash64("h"))
+    least = [r.x for r in hashed.select("x").distinct().orderBy("x").limit(SAMPLE_PAGES).collect()]
+    return weights(sorted(r.h for r in hashed.filter(F.col("x").isin(least)).select("h").distinct().collect())) if least else dict(DEFAULTS)
 
 
 def extract_pages(pages: DataFrame, weight: dict[str, float], *, keep: list[str], html_col: str = "html") -> DataFrame:
