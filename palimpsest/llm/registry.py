@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import dac, decontaminate, html, jaccard, langid, packing, pii, urlfilter
+from palimpsest.llm import ann, dac, decontaminate, html, jaccard, langid, packing, pii, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_html_text": html.op2_html_text,
     "op3_url_filter": urlfilter.op3_url_filter,
     "op4_pii": pii.op4_pii,
+    "op5_neighbours": ann.op5_neighbours,
     "op6_language": langid.op6_language,
     "op7_decontaminate": decontaminate.op7_decontaminate,
     "op8_pack": packing.op8_pack,
