@@ -11,9 +11,10 @@ frequent shingles last in that order, few other sets share one. Sets that share
    of different components, in size bands (a set of fewer than 3/4 of the other's shingles can't be
    similar) and, where a tile is large, in blocks of it.
 
-A pair is compared by its bitmaps first: a set's bitmap has the parity of its shingles for each of 1024 hashed
-places, and the bits in which two bitmaps differ are no more than the shingles the sets differ in, which bounds
-the overlap from above. Pairs that pass have their sorted arrays intersected. So no link between different
+Tiles of the same members are one tile. A pair is compared by its bitmaps first: a set's bitmap has the parity of
+its shingles for each of as many hashed places as it has shingles, about, and folds to half its width by an
+exclusive or of its halves. The bits in which two bitmaps of one width differ are no more than the shingles the
+sets differ in, which bounds the overlap from above. Pairs that pass have their sorted arrays intersected. So no link between different
 components is missed, no pair within one is made for nothing, and nothing is capped.
 
 Cases: null, empty and word-less texts have empty sets and are linked with nothing; a text of fewer than five
@@ -37,7 +38,8 @@ from palimpsest.llm.components import components
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 75
-BITS = 1024
+#: Bits of a bitmap: the power of two that is not below the set's size, within these bounds.
+BITS = (256, 1 << 15)
 #: A shingle counts as frequent if so many documents of some batch have it, and so many of all batches make
 #: the list; which shingles are on it changes only the work, not the result.
 FREQUENT = 24
@@ -90,8 +92,17 @@ def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    odd = np.bincount((hashes & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+    width = min(BITS[1], max(BITS[0], 1 << max(0, len(hashes) - 1).bit_length()))
+    odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps, one or one a row, at a smaller width."""
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -104,12 +115,27 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return both > 0 and 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def may_link(n: int, bits: np.ndarray, ns: np.ndarray, others: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Whether size and bitmap let a set be linked with others: overlap <= (n + m - differing bits) / 2."""
-    differ = np.bitwise_count(others ^ bits).sum(axis=1).astype(np.int64)
-    over = (n + ns - differ) // 2
-    sizes = 100 * np.minimum(n, ns) >= percent * np.maximum(n, ns)
-    return sizes & (100 * over >= percent * (n + ns - over))
+def may_link(n: int, m, differ, percent: int = PERCENT):
+    """Whether sets of n and m hashes whose bitmaps differ in so many bits may be linked: the overlap is at most
+    (n + m - differ) / 2. m and differ may be arrays."""
+    over = (n + m - differ) // 2
+    return 100 * over >= percent * (n + m - over)
+
+
+def _sizes_fit(n: int, m, percent: int):
+    return (100 * n >= percent * m) & (100 * m >= percent * n)
+
+
+def _partners(x: int, at: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
+    """Of members `at` of a tile those that size and bitmap let be linked with member x."""
+    at = at[_sizes_fit(int(n[x]), n[at], percent)]
+    widths, out = np.array([len(bits[i]) for i in at], dtype=np.int64), []
+    for w in np.unique(widths):  # a size band has two or three widths
+        part = at[widths == w]
+        words = min(int(w), len(bits[x]))
+        differ = np.bitwise_count(folded(np.stack([bits[i] for i in part]), words) ^ folded(bits[x], words)).sum(axis=1).astype(np.int64)
+        out.append(part[may_link(int(n[x]), n[part], differ, percent)])
+    return np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
 
 
 def _frequent(docs: DataFrame, k: int) -> set[int]:
@@ -146,21 +172,22 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fre
                     h_first = np.concatenate((h[~is_late], h[is_late]))[:first]
                 else:
                     h_first = h[:first]
-                rows.append((n, int.from_bytes(digest[:8], "little", signed=True), digest[8:], bitmap(h).tolist(), h_first.tobytes()))
+                rows.append((n, int.from_bytes(digest[:8], "little", signed=True), digest[8:], bitmap(h).tobytes(), h_first.tobytes()))
             cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[id_col, "text_hash", "n", "node", "check", "bits", "keys"])
 
     source = docs.select(id_col, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"))
-    return source.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n long, node long, check binary, bits array<long>, keys binary")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n long, node long, check binary, bits binary, keys binary")
 
 
 def _tiles(sets: DataFrame, keys: int) -> DataFrame:
-    """key, node, star0, star1, ... for every key that more than one node has."""
+    """tile, node, weight, star0, star1, ...: the nodes that meet in some key. A tile stands for all keys of the
+    same nodes, weight says for how many."""
     draws = [d for drawn in ROUNDS for d in drawn]
     buckets = max(keys // BUCKET_KEYS, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
-    names = ["key", "node", *[f"star{d}" for d in draws]]
+    names = ["tile", "node", "weight", *[f"star{d}" for d in draws]]
 
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,21 +224,31 @@ def _tiles(sets: DataFrame, keys: int) -> DataFrame:
             if not len(hashes):
                 continue
             first, stars = np.cumsum(sizes) - sizes, []
+            # The sum of its members' hashes names a tile. Should two tiles ever have one sum, they are joined.
+            tile = np.add.reduceat(mixed(nodes), first)
+            _, one, counts = np.unique(tile, return_index=True, return_counts=True)
+            kept = np.zeros(len(first), dtype=bool)
+            kept[one] = True
+            weight = np.zeros(len(first), dtype=np.int64)
+            weight[one] = counts
+            tile, weight, nodes, sizes = np.repeat(tile[kept], sizes[kept]), np.repeat(weight[kept], sizes[kept]), nodes[np.repeat(kept, sizes)], sizes[kept]
+            first = np.cumsum(sizes) - sizes
             for d in draws:
-                drawn = mixed(nodes + np.uint64(d + 1) * np.uint64(_BASE))
+                drawn = mixed(nodes + np.uint64((d + 1) * _BASE % (1 << 64)))
                 least = np.repeat(np.minimum.reduceat(drawn, first), sizes)
                 stars.append(np.repeat(nodes[drawn == least], sizes))  # one node has a hash: mixed() is one to one
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (hashes, nodes, *stars)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tile, nodes, weight, *stars)], names=names)
 
     dealt = sets.select("node", "keys").mapInArrow(deal, "bucket long, data binary")
-    return dealt.repartition(buckets, "bucket").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
+    met = dealt.repartition(buckets, "bucket").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
+    return met.groupBy("tile", "node").agg(F.sum("weight").alias("weight"), *[F.min(c).alias(c) for c in names[3:]])
 
 
 def _stars(tiles: DataFrame, drawn: tuple[int, ...], labels: DataFrame | None) -> DataFrame:
     """(a, b): each node and the star that it has in most of its tiles, if they are not of one component yet."""
     out = None
     for d in drawn:
-        counted = tiles.select("node", F.col(f"star{d}").alias("star")).filter("node <> star").groupBy("node", "star").count()
+        counted = tiles.select("node", "weight", F.col(f"star{d}").alias("star")).filter("node <> star").groupBy("node", "star").agg(F.sum("weight").alias("count"))
         best = counted.groupBy("node").agg(F.max_by("star", F.struct("count", "star")).alias("star"))
         out = best if out is None else out.union(best)
     if labels is not None:
@@ -225,14 +262,28 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
+    """a, b, column_a, column_b. Pairs are ids alone: they go to where the column is, so that for each pair only the
+    column of one travels."""
+    to = lambda x, with_: with_.join(of.select(F.col("node").alias(x), F.col(column).alias(f"{column}_{x}")), x)
+    others = to("b", _small(pairs)).hint("merge")
+    return others.join(to("a", _small(pairs.select("a").distinct())), "a").select("a", "b", f"{column}_a", f"{column}_b")
+
+
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b) those that size and bitmap let be linked."""
-    of = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
-    joined = pairs.join(of("a"), "a").join(of("b"), "b")
-    sizes = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-    differ = F.aggregate(F.zip_with("bits_a", "bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    over = F.floor((F.col("n_a") + F.col("n_b") - differ) / 2)
-    return joined.filter(sizes & (F.lit(100) * over >= F.lit(percent) * (F.col("n_a") + F.col("n_b") - over))).select("a", "b")
+    """Of pairs (a, b), a written table, those that size and bitmap let be linked."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = (np.frombuffer(s["bits"], np.uint64) for s in (a, b))
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                keep.append(bool(_sizes_fit(a["n"], b["n"], percent) and may_link(a["n"], b["n"], differ, percent)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return _with_both(pairs, nodes.select("node", F.struct("n", "bits").alias("set")), "set").mapInArrow(run, "a long, b long")
 
 
 def _arrays(docs: DataFrame, needed: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -261,22 +312,19 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     arrays = stage(_arrays(docs, nodes.join(wanted, "node", "left_semi"), text_col, k), "arrays")
-    # Pairs are ids alone, and few: they go to where the arrays are, so that of each pair one array travels.
-    of = lambda x, with_: with_.join(arrays.select(F.col("node").alias(x), F.col("hashes").alias(f"hashes_{x}")), x)
-    others = of("b", _small(pairs)).hint("merge")
-    return others.join(of("a", _small(pairs.select("a").distinct())), "a").select("a", "b", "hashes_a", "hashes_b").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, arrays, "hashes").mapInArrow(run, "a long, b long")
 
 
 def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a key and may be linked, from the tiles of several components."""
+    """(a, b) of different components that share a tile and may be linked."""
     label = F.coalesce("label", "node")
-    open_keys = tiles.join(labels, "node", "left").select("key", "node", label.alias("label"))
-    counts = open_keys.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
+    members = tiles.join(labels, "node", "left").select("tile", "node", label.alias("label"))
+    counts = members.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = open_keys.join(counts.select("key", "size"), "key").join(nodes.select("node", "n", "bits"), "node")
+    rows = members.join(counts.select("tile", "size"), "tile").join(nodes.select("node", "n", "bits"), "node")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
+    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tile = [], None
@@ -284,20 +332,19 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
         def pairs() -> pa.RecordBatch:
             got = pa.Table.from_batches(held)
             node, lab, n = (got.column(c).to_numpy() for c in ("node", "label", "n"))
-            bits = np.array(got.column("bits").to_pylist(), dtype=np.int64).reshape(len(node), -1)
+            bits = [np.frombuffer(x, np.uint64) for x in got.column("bits").to_pylist()]
             out = []
             values, place, sizes = np.unique(lab, return_inverse=True, return_counts=True)
             largest = place == sizes.argmax()
             rank = np.where(largest, len(node), np.arange(len(node)))
             for x in np.flatnonzero(~largest):  # all of another component; of two small ones each pair once
-                at = np.flatnonzero((lab != lab[x]) & (rank > x))
-                ok = at[may_link(int(n[x]), bits[x], n[at], bits[at], percent)]
+                ok = _partners(x, np.flatnonzero((lab != lab[x]) & (rank > x)), n, bits, percent)
                 out.append(np.stack((np.minimum(node[ok], node[x]), np.maximum(node[ok], node[x]))))
             flat = np.unique(np.concatenate([*out, np.zeros((2, 0), np.int64)], axis=1), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=["a", "b"])
 
         for batch in batches:
-            ids = list(zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j")), strict=True))
+            ids = list(zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), strict=True))
             cuts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if ids[a] != tile and held:
@@ -308,7 +355,7 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
         if held:
             yield pairs()
 
-    dealt = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
@@ -327,7 +374,7 @@ def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     for drawn in ROUNDS:
         pairs = _stars(tiles, drawn, labels)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(_near(pairs, nodes, percent), "pairs")
+        pairs = stage(_near(stage(pairs, "stars"), nodes, percent), "pairs")
         found = stage(_verified(pairs, docs, nodes, text_col, words, percent), "found")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
         labels = components(links)

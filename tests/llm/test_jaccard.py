@@ -68,7 +68,8 @@ def test_shingles_and_bound():
         want = bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
         assert j.similar(sets[a], sets[b]) == want
         if want:
-            assert j.may_link(len(sets[a]), j.bitmap(sets[a]), np.array([len(sets[b])]), j.bitmap(sets[b])[None])[0]
+            n = np.array([len(sets[a]), len(sets[b])])
+            assert j._partners(0, np.array([1]), n, [j.bitmap(sets[a]), j.bitmap(sets[b])], 75).tolist() == [1]
 
 
 def test_against_brute_force(spark):
