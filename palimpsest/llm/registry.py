@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import ann, dac, decontaminate, html, jaccard, langid, packing, pii, urlfilter
+from palimpsest.llm import ann, dac, decontaminate, html, jaccard, langid, packing, pii, suffix_dedup, urlfilter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_html_text": html.op2_html_text,
     "op3_url_filter": urlfilter.op3_url_filter,
     "op4_pii": pii.op4_pii,
