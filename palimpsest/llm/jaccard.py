@@ -12,7 +12,7 @@ frequent shingles last in that order, few other sets share one. Sets that share
    similar) and, where a tile is large, in blocks of it.
 
 Tiles of the same members are one tile. A pair is compared by its bitmaps first: a set's bitmap has the parity of
-its shingles for each of as many hashed places as it has shingles, about, and folds to half its width by an
+its shingles for each of four to eight times as many hashed places as it has shingles, and folds to half its width by an
 exclusive or of its halves. The bits in which two bitmaps of one width differ are no more than the shingles the
 sets differ in, which bounds the overlap from above. Pairs that pass have their sorted arrays intersected. So no link between different
 components is missed, no pair within one is made for nothing, and nothing is capped.
@@ -38,8 +38,8 @@ from palimpsest.llm.components import components
 WORDS = 5
 #: Similarity in percent.
 PERCENT = 75
-#: Bits of a bitmap: the power of two that is not below the set's size, within these bounds.
-BITS = (256, 1 << 15)
+#: Bits of a bitmap: the power of two that is not below four times the set's size, within these bounds.
+BITS = (256, 1 << 17)
 #: A shingle counts as frequent if so many documents of some batch have it, and so many of all batches make
 #: the list; which shingles are on it changes only the work, not the result.
 FREQUENT = 24
@@ -47,9 +47,11 @@ FREQUENT_KEPT = 1 << 17
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1 << 19
 #: Rounds of stars, each of so many hashes.
-ROUNDS = ((0, 1), (2, 3))
+ROUNDS = ((0, 1), (2, 3), (4, 5, 6, 7))
 #: Members of a block of a large tile.
 BLOCK = 2048
+#: Pairs that a task remembers to have sent.
+SENT = 1_000_000
 #: Rows of ids up to which they are broadcast; more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -92,7 +94,7 @@ def shingles(text: bytes | None, k: int = WORDS) -> np.ndarray:
 
 
 def bitmap(hashes: np.ndarray) -> np.ndarray:
-    width = min(BITS[1], max(BITS[0], 1 << max(0, len(hashes) - 1).bit_length()))
+    width = min(BITS[1], max(BITS[0], 1 << max(0, 4 * len(hashes) - 1).bit_length()))
     odd = np.bincount((hashes & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -328,6 +330,7 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, tile = [], None
+        sent: set[tuple[int, int]] = set()  # the same two sets meet in many tiles
 
         def pairs() -> pa.RecordBatch:
             got = pa.Table.from_batches(held)
@@ -340,8 +343,12 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
             for x in np.flatnonzero(~largest):  # all of another component; of two small ones each pair once
                 ok = _partners(x, np.flatnonzero((lab != lab[x]) & (rank > x)), n, bits, percent)
                 out.append(np.stack((np.minimum(node[ok], node[x]), np.maximum(node[ok], node[x]))))
-            flat = np.unique(np.concatenate([*out, np.zeros((2, 0), np.int64)], axis=1), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(flat[0]), pa.array(flat[1])], names=["a", "b"])
+            flat = set(zip(*np.concatenate([*out, np.zeros((2, 0), np.int64)], axis=1).tolist(), strict=True)) - sent
+            if len(sent) > SENT:
+                sent.clear()
+            sent.update(flat)
+            a, b = zip(*flat, strict=True) if flat else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
         for batch in batches:
             ids = list(zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), strict=True))
