@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 import zlib
 from collections.abc import Sequence
 
@@ -101,7 +102,7 @@ class Store:
     def commit(self, delta: DataFrame) -> None:
         """Append a delta, all of it or nothing."""
         number = self.state["number"] + 1
-        name = f"delta-{number}"
+        name = f"delta-{number}-{uuid.uuid4().hex[:8]}"  # a commit that lost leaves a folder that vacuum() takes
         delta.select(*self.entries().columns).write.parquet(f"{self.path}/{name}")
         top = self._top_seq(self.spark.read.parquet(f"{self.path}/{name}"))
         self._publish(self.state | {"number": number, "deltas": [*self.state["deltas"], name], "next_seq": max(self.next_seq, top + 1)})
@@ -109,7 +110,7 @@ class Store:
     def checkpoint(self) -> None:
         """A new base of the newest entries, sorted by key so that scans skip row groups."""
         number, key = self.state["number"] + 1, self.state["key"]
-        name = f"base-{number}"
+        name = f"base-{number}-{uuid.uuid4().hex[:8]}"
         newest(self.entries(), key).repartitionByRange(*key).sortWithinPartitions(*key, "snap_id").write.parquet(f"{self.path}/{name}")
         self._publish(self.state | {"number": number, "base": name, "deltas": []})
 
