@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, table
+from palimpsest.llm.common import ship, stage, table
 
 TREES = 32
 DEPTH = 64
@@ -108,6 +108,7 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
 def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, trees: int = TREES, share: float = SHARE, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of each query's k nearest found among `vectors`."""
 
+    ship(vectors.sparkSession)
     def usable(df: DataFrame) -> DataFrame:
         v = F.col("v")
         bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

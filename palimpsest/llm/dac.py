@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import tokens
-from palimpsest.llm.common import stage, table
+from palimpsest.llm.common import ship, stage, table
 
 MAGIC = b"PALDAC01"
 #: A segment ends with the document that brings it to so many tokens.
@@ -156,6 +156,7 @@ def segments(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> DataF
         if doc_ids:
             yield cut()
 
+    ship(docs.sparkSession)
     # The hash parts even one id that very many rows share; equal rows need no order.
     dealt = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     dealt = dealt.repartitionByRange(F.col("d").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("d").asc_nulls_first(), F.col("h"))

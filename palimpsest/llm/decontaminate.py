@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table
+from palimpsest.llm.common import ship, table
 
 WINDOW = 10
 #: Words of one automaton; a larger benchmark is dealt into blocks of whole items, one automaton each.
@@ -215,6 +215,7 @@ def decontaminate(
 ) -> DataFrame:
     """A row per document: id, keep..., its words, hits and items, the text without the spans of at least `min_span`
     hit words (`clean_text`), and whether over `max_coverage` of its words are hit (`drop`)."""
+    ship(docs.sparkSession)
     auto_var = docs.sparkSession.sparkContext.broadcast(automata(benchmark_rows(benchmark, item_col, text_col), window))
     kept = list(dict.fromkeys([id_col, *keep]))
     if taken := {"n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text", "drop"} & set(kept):

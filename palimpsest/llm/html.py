@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table
+from palimpsest.llm.common import ship, table
 
 #: The sample that weights are counted on: so many pages of at most so many bytes each.
 SAMPLE_PAGES = 400
@@ -203,6 +203,7 @@ def fit(pages: DataFrame, *, html_col: str = "html") -> dict[str, float]:
 def extract_pages(pages: DataFrame, weight: dict[str, float], *, keep: list[str], html_col: str = "html") -> DataFrame:
     """keep..., text, n_chars for each page."""
 
+    ship(pages.sparkSession)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [extract(x.as_py(), weight) for x in batch.column(len(keep))]

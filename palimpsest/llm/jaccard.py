@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, table
+from palimpsest.llm.common import ship, stage, table
 from palimpsest.llm.components import components
 
 WORDS = 5
@@ -368,6 +368,7 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
 
 def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """A row per document: id, text_hash, n (shingles), label (the same for a component; null for empty sets)."""
+    ship(docs.sparkSession)
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select(text_col), words))
     sets = stage(_sets(docs, id_col, text_col, words, percent, frequent), "sets")
     filled = sets.filter("n > 0")

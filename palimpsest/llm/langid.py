@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import table
+from palimpsest.llm.common import ship, table
 
 #: The sample: so many documents of each language, of at most so many bytes each. All others are scored.
 SAMPLE_DOCS = 150
@@ -175,6 +175,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """A row per document: id, keep..., lang_pred, score (the chosen language's share of the probability a byte
     that all learned languages give to the text), bits_per_byte (of the shortest code; null for `und`)."""
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     columns = list(dict.fromkeys([id_col, *keep, text_col]))
     kept = [c for c in columns if c == id_col or c in keep]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import tokens
-from palimpsest.llm.common import stage, table
+from palimpsest.llm.common import ship, stage, table
 
 BUCKETS = 16
 #: Padded tokens of a batch.
@@ -30,6 +30,7 @@ NUMBERED = 50_000
 
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens), the end token included; text stays where it is."""
+    ship(docs.sparkSession)
     path = tokenizer or tokens.default_path()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, table
+from palimpsest.llm.common import ship, stage, table
 from palimpsest.llm.jaccard import mixed
 
 LENGTH = 400
@@ -319,6 +319,7 @@ def covered(docs: DataFrame, length: int) -> DataFrame:
 
 def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (binary), kept_sha256 for each document."""
+    ship(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     data = docs.select(F.col(id_col).alias("__id"), text.cast("binary").alias("data")).withColumns({"h1": F.xxhash64("data"), "h2": F.xxhash64(F.lit(7), F.col("data"))})
     found = covered(data.select("h1", "h2", "data").filter(F.octet_length("data") >= length), length)
