@@ -106,9 +106,9 @@ def find_visible_with_snap(spark, d):
     return V.visible(asked, KEY, _chain(spark)).select("ino", "off", "data_block", "len", "snap_id")
 
 
-@query(f"SELECT ino, off, data_block, len FROM root WHERE ino = {FILE} AND off = 4096")
+@query(f"SELECT ino, off, data_block, len FROM root WHERE ino = {FILE} AND off = 0")
 def get_extent(spark, d):
-    asked = A.extents(spark, d).filter((F.col("ino") == FILE) & (F.col("off") == 4096))
+    asked = A.extents(spark, d).filter((F.col("ino") == FILE) & (F.col("off") == 0))
     return V.visible(asked, KEY, [ROOT]).select("ino", "off", "data_block", "len")
 
 
