@@ -200,7 +200,7 @@ def rewritten(text: Column, spans: Column, generalise: bool = True) -> Column:
         tail = F.substring(text, F.get(ends, n - 1) + 1, F.length(text))
         return F.concat(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), part), ""), tail)
 
-    done = _let(_running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b)), written)
+    done = _let(F.transform(spans, lambda s: s["end"]), lambda ends: _let(_running(ends, lambda a, b: F.greatest(a, b)), written))
     return F.when((F.size(spans) > 0) & text.isNotNull(), done).otherwise(text)
 
 
