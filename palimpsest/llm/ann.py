@@ -89,16 +89,24 @@ def _common(a: np.uint64, b: np.uint64) -> int:
 
 
 def _packed(rows: DataFrame, parts: int) -> DataFrame:
-    """(dim, part, ids, vectors): the rows of a part as two binaries; a part has one row for each task that wrote it."""
+    """(dim, part, ids, vectors): the rows of a part as two binaries."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = [], None
+
+        def one() -> pa.RecordBatch:
+            ids, vectors = np.array([i for i, _ in held], dtype="<i8"), np.array([v for _, v in held], dtype="<f8")
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["dim", "part", "ids", "vectors"])
+
         for batch in batches:
-            got: dict[tuple[int, int], list[tuple[int, list[float]]]] = {}
-            for i, v, d, p in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                got.setdefault((d, p), []).append((i, v))
-            for (d, p), part in got.items():
-                ids, vectors = np.array([i for i, _ in part], dtype="<i8"), np.array([v for _, v in part], dtype="<f8")
-                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([p], pa.int32()), pa.array([ids.tobytes()], pa.binary()), pa.array([vectors.tobytes()], pa.binary())], names=["dim", "part", "ids", "vectors"])
+            for i, v, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if own != key and held:
+                    yield one()
+                    held = []
+                key = own
+                held.append((i, v))
+        if held:
+            yield one()
 
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     dealt = rows.select("id", "v", F.size("v").alias("dim"), part.alias("part")).repartition(parts, "dim", "part").sortWithinPartitions("dim", "part", "id")

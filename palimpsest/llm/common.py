@@ -15,9 +15,16 @@ _staged: list[tuple[SparkSession, str]] = []
 
 _shipped: set[str] = set()
 
+#: Rows that a Python worker gets at a time. Texts may be long, and an executor runs several workers.
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once an application: their Python need not have it installed."""
+    """Send this package to the executors, once an application: their Python need not have it installed. And let
+    batches be no larger than BATCH_ROWS, if the session leaves that at more."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= BATCH_ROWS:
+        spark.conf.set(_ROWS, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return

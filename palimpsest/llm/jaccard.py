@@ -42,7 +42,7 @@ PERCENT = 75
 BITS = (256, 1 << 17)
 #: A shingle counts as frequent if so many documents of some batch have it, and so many of all batches make
 #: the list; which shingles are on it changes only the work, not the result.
-FREQUENT = 24
+FREQUENT = 8
 FREQUENT_KEPT = 1 << 17
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1 << 19

@@ -30,7 +30,7 @@ SAMPLE_DOCS = 150
 SAMPLE_BYTES = 16_384
 ORDER = 4
 #: Contexts of a tree, the most frequent first; shorter ones come before longer ones.
-CONTEXTS = 6_000
+CONTEXTS = 3_000
 #: Bytes of a piece that is scored in step with others.
 PIECE = 512
 #: Bits a byte of the shortest code above which a text is in no learned language.
