@@ -20,11 +20,23 @@ def closure(snapshots: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     return snapshots.sparkSession.sql(_WALK, heads=(heads or snapshots).select("snap_id"), snaps=snapshots)
 
 
+#: Snapshots up to which the driver walks a chain itself; a larger tree is walked by the recursive query.
+WALKED = 100_000
+
+
 def chain(snapshots: DataFrame, head: int) -> list[int]:
     """A reader's chain, closest first. It is as long as the tree is deep, so the driver may hold it: it becomes
     the literal list that scans filter by."""
-    rows = closure(snapshots, snapshots.filter(F.col("snap_id") == int(head))).orderBy("depth").collect()
-    return [r.snap_id for r in rows] or [int(head)]
+    head = int(head)
+    # Ancestors have larger ids, so one small read has them all.
+    above = snapshots.filter(F.col("snap_id") >= head).select("snap_id", "parent_id").limit(WALKED + 1).collect()
+    if len(above) <= WALKED:
+        parent, line = dict(map(tuple, above)), [head]
+        while (up := parent.get(line[-1], 0)) > line[-1]:
+            line.append(up)
+        return line
+    rows = closure(snapshots, snapshots.filter(F.col("snap_id") == head)).orderBy("depth").collect()
+    return [r.snap_id for r in rows] or [head]
 
 
 def is_ancestor(snapshots: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -120,8 +120,10 @@ def test_random_operations_against_a_model(spark):
             seq += 1
 
 
-def test_ancestors(spark):
+def test_ancestors(spark, monkeypatch):
     snaps = spark.createDataFrame([(ROOT, 0, 0), (100, ROOT, 0), (80, 100, 0), (60, ROOT, 0)], "snap_id long, parent_id long, flags int")
     assert C.chain(snaps, 80) == [80, 100, ROOT] and C.chain(snaps, 7) == [7]
+    monkeypatch.setattr(C, "WALKED", 1)
+    assert C.chain(snaps, 80) == [80, 100, ROOT] and C.chain(snaps, 7) == [7]
     pairs = spark.createDataFrame([(ROOT, 80), (80, 80), (60, 80), (80, ROOT)], "ancestor long, of long")
     assert {(r.ancestor, r.of): r.is_ancestor for r in C.is_ancestor(snaps, pairs).collect()} == {(ROOT, 80): True, (80, 80): True, (60, 80): False, (80, ROOT): False}
