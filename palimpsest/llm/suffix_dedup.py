@@ -35,7 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import ship, stage, table
@@ -291,13 +291,16 @@ def _repeated(rows: DataFrame) -> DataFrame:
 def covered(docs: DataFrame, length: int) -> DataFrame:
     """(h1, h2, first, last): repeated strings start at first..last of these texts. docs: h1, h2, data."""
     rows = _anchor_rows(docs, length).repartition("class")
-    hulls = rows.groupBy("class", "d1", "d2").agg(F.count("*").alias("n_hull"))
-    classes = rows.groupBy("class").agg(F.count("*").alias("n_class"), F.min("d1").alias("lo"), F.max("d1").alias("hi")).filter("n_class > 1")
-    met = rows.join(classes.hint("merge"), "class").join(hulls.hint("merge"), ["class", "d1", "d2"])
-    met = stage(met.select("h1", "h2", "at", "first", "last", (F.col("n_hull") > 1).alias("whole"), (F.col("lo") != F.col("hi")).alias("mixed")), "anchors")
+    # One exchange for all: a class and its hulls are neighbours in one order, and windows that are larger than
+    # memory are kept on disk.
+    hull, kind = Window.partitionBy("class", "d1", "d2"), Window.partitionBy("class")
+    rows = rows.withColumn("nth", F.row_number().over(hull.orderBy("h1", "h2", "at"))).withColumn("n_hull", F.count("*").over(hull))
+    rows = rows.withColumns({"n_class": F.count("*").over(kind), "lo": F.min("d1").over(kind), "hi": F.max("d1").over(kind)})
+    # Open anchors, and one of each repeated hull of the same classes, with which they may share strings.
+    opened = (F.col("lo") != F.col("hi")) & (F.col("nth") == 1)
+    met = stage(rows.filter("n_class > 1").select("h1", "h2", "at", "first", "last", (F.col("n_hull") > 1).alias("whole"), opened.alias("open")), "anchors")
     parts = [met.filter("whole").select("h1", "h2", "first", "last").distinct()]
-    # Open anchors, and repeated hulls of the same classes, with which they may share strings.
-    blocks = stage(_blocks(docs, met.filter("mixed").select("h1", "h2", "at", "first", "last"), length), "blocks")
+    blocks = stage(_blocks(docs, met.filter("open").select("h1", "h2", "at", "first", "last"), length), "blocks")
     width = BLOCK
     while True:
         counts = blocks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
