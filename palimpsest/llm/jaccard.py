@@ -383,6 +383,8 @@ def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         pairs = _stars(tiles, drawn, labels)
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = stage(_near(stage(pairs, "stars"), nodes, percent), "pairs")
+        if tried is not None and not pairs.limit(1).count():
+            continue  # nothing new to compare
         found = stage(_verified(pairs, docs, nodes, text_col, words, percent), "found")
         tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
         labels = components(links)
