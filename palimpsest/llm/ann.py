@@ -3,6 +3,7 @@
 A tree is the sorted array of the rows' hash strings (64 random hyperplanes, a bit each). A query descends in each
 tree to the rows that share the longest prefix with its own string, then ascends in all trees at once, a bit
 at a time, until the union of what it has met is `share` of the index; those candidates are scored exactly.
+Rows whose strings are equal in all trees count once towards it, so a hot group does not use up the share.
 Vectors without structure need a large share (see the README for the recall measured).
 
 The index is dealt into shards of a bounded number of rows, each with its own forest, and the queries into
@@ -27,10 +28,12 @@ from palimpsest.llm.common import ship, stage, table
 
 TREES = 32
 DEPTH = 64
-SHARE = 0.4
+SHARE = 0.8
 SHARD_ROWS = 8192
 BLOCK_QUERIES = 1024
 SEED = 20_240_229
+#: For each prefix length from 0 to DEPTH, the bits of a string after it.
+_REST = np.array([(1 << (DEPTH - d)) - 1 for d in range(DEPTH + 1)], dtype=np.uint64)
 
 
 def hashes(vectors: np.ndarray, trees: int) -> np.ndarray:
@@ -48,35 +51,35 @@ class Forest:
         self.ids, self.vectors = ids, vectors
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         strings = hashes(vectors, trees)
+        # Rows of equal strings enter together: the first of each class stands for it where rows are counted.
+        self.first = np.zeros(len(ids), dtype=bool)
+        self.first[np.unique(strings.T, axis=0, return_index=True)[1]] = True
+        self.classes = int(self.first.sum())
         self.order = np.argsort(strings, axis=1, kind="stable")
         self.strings = np.take_along_axis(strings, self.order, axis=1)
 
     def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
-        """Rows met by descent and synchronous ascent, at least `wanted` where there are as many. query: its strings."""
+        """Rows met by descent and synchronous ascent, at least `wanted` classes where there are as many. query: its strings."""
         met, n = np.zeros(len(self.ids), dtype=bool), len(self.ids)
-        if wanted >= n:
+        if wanted >= self.classes:
             return np.arange(n)
-        lo = [int(np.searchsorted(s, q)) for s, q in zip(self.strings, query, strict=True)]
-        hi = list(lo)
-        # The longest prefix that any tree shares with the query is shared by a neighbour of its place.
-        near = [max((_common(s[i], q) for i in (k - 1, k) if 0 <= i < n), default=0) for s, k, q in zip(self.strings, lo, query, strict=True)]
-        for depth in range(max(near), -1, -1):
-            for t, (s, q) in enumerate(zip(self.strings, query, strict=True)):
-                if near[t] < depth:
-                    continue
-                first = int(q) >> (DEPTH - depth) << (DEPTH - depth)
-                last = first + (1 << (DEPTH - depth)) - 1
-                a = int(np.searchsorted(s[: lo[t]], np.uint64(first)))
-                b = hi[t] + int(np.searchsorted(s[hi[t] :], np.uint64(last), side="right"))
-                met[self.order[t, a : lo[t]]] = True
-                met[self.order[t, hi[t] : b]] = True
-                lo[t], hi[t] = a, b
-            if int(met.sum()) >= wanted:
+        # [tree, depth] bounds of the rows that share a prefix of that length with the query.
+        lo = np.stack([np.searchsorted(s, q & ~_REST) for s, q in zip(self.strings, query, strict=True)])
+        hi = np.stack([np.searchsorted(s, q | _REST, side="right") for s, q in zip(self.strings, query, strict=True)])
+        grown = (lo[:, :-1] != lo[:, 1:]) | (hi[:, :-1] != hi[:, 1:])
+        for depth in range(DEPTH, -1, -1):
+            for t in range(len(query)) if depth == DEPTH else np.flatnonzero(grown[:, depth]):
+                if depth == DEPTH:
+                    met[self.order[t, lo[t, depth] : hi[t, depth]]] = True
+                else:
+                    met[self.order[t, lo[t, depth] : lo[t, depth + 1]]] = True
+                    met[self.order[t, hi[t, depth + 1] : hi[t, depth]]] = True
+            if (depth == DEPTH or grown[:, depth].any()) and np.count_nonzero(met & self.first) >= wanted:
                 break
         return np.flatnonzero(met)
 
     def search(self, query_id: int, query: np.ndarray, strings: np.ndarray, k: int, share: float) -> list[tuple[int, float]]:
-        at = self.candidates(strings, max(k + 1, int(np.ceil(share * len(self.ids)))))
+        at = self.candidates(strings, max(k + 1, int(np.ceil(share * self.classes))))
         at = at[self.ids[at] != query_id]
         # Row by row, so that equal vectors have equal scores wherever they stand.
         scores = (self.vectors[at] * query).sum(axis=1) / (self.norms[at] * np.sqrt((query * query).sum()))

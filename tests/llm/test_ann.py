@@ -53,3 +53,20 @@ def test_ascent_takes_longest_prefixes_first():
         assert len(got) >= wanted
         cut = sorted(longest, reverse=True)[wanted - 1]
         assert wanted == 500 or set(got) == set(np.flatnonzero(longest >= cut))
+
+
+def test_recall_without_structure_and_with_a_hot_group(spark):
+    rnd = np.random.default_rng(4)
+    plain = [(i, rnd.normal(size=64).tolist()) for i in range(1000)]
+    hot = [(i, plain[1][1] if i % 3 == 1 else v) for i, v in plain]
+    for rows in (plain, hot):
+        want = {(q, i) for q, _, i, _ in brute(rows, set(range(0, 1000, 50)))}
+        got = {(q, i) for q, _, i, _ in run(spark, rows)}
+        assert len(got & want) >= 0.9 * len(want)
+
+
+def test_equal_rows_count_once():
+    vectors = np.random.default_rng(6).normal(size=(300, 16))
+    vectors[:200] = vectors[0]
+    forest, query = ann.Forest(np.arange(300), vectors), ann.hashes(vectors[:1], ann.TREES)[:, 0]
+    assert forest.classes == 101 and len(forest.candidates(query, 50)) >= 200 + 49
