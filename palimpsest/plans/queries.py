@@ -479,3 +479,48 @@ def read_at(spark, d):
     sizes = X.file_size(seen)
     reads = sizes.select("ino", F.lit(1000).cast("long").alias("start"), F.lit(30_000).cast("long").alias("count"))
     return X.read_segments(sizes, seen, reads)
+
+
+# -- the same operators with whole tables as targets
+
+
+def whole(of: str, cut: str):
+    """A query with the SQL of another one, without the part that cuts its targets down."""
+    assert cut in SQL[of]
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        SQL[f.__name__] = SQL[of].replace(cut, "")
+        return f
+
+    return add
+
+
+@whole("lookup_attr", " WHERE dirent.parent_ino % 10 = 0")
+def lookup_attr_all(spark, d):
+    names = _names(spark, d)
+    return N.lookup_attr(names, A.inodes(spark, d).drop("parent_ino"), names)
+
+
+@whole("delete_resolve", " WHERE ino % 5 = 0")
+def delete_resolve_all(spark, d):
+    e = A.extents(spark, d)
+    return U.delete_resolve(e, e.select(*KEY), KEY, _chain(spark))
+
+
+@whole("unlink", " AND d.parent_ino % 7 = 0")
+def unlink_all(spark, d):
+    names = _names(spark, d)
+    return N.unlink(names, A.inodes(spark, d).drop("parent_ino"), names, HEAD)
+
+
+@whole("truncate", "ino % 4 = 1 AND ")
+def truncate_all(spark, d):
+    seen = V.visible(A.extents(spark, d), KEY, _chain(spark))
+    return X.truncate(seen, seen.select("ino").distinct().withColumn("size", F.lit(10_000)), HEAD)
+
+
+@whole("journal_replay", " AND seq > 2000")
+def journal_replay_all(spark, d):
+    base = A.extents(spark, d).filter(F.col("snap_id") == ROOT)
+    return J.replay(base, A.frames(spark, d), 0, KEY).select("ino", "off", "snap_id", "kind", "seq")
