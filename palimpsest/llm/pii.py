@@ -1,12 +1,12 @@
 """Personal data: patterns, and information-theoretic sanitisation of what else reveals it.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers; these are the protected entities. A
-term near an entity reveals it as far as the corpus shows that the two go together: the disclosure of entity
-e by term t is PMI(t; e) / IC(e), with IC(e) = -log2 p(e) and PMI(t; e) = log2(p(t, e) / (p(t) p(e))), where
-p(t), p(e) and p(t, e) (t near e) are shares of all documents. It is 1 where t is found with e alone, and 0
-where t says nothing of e. Witnesses are distinct surroundings of e that hold t, so copies of one text are one.
-Terms above the threshold, with enough witnesses, are sanitised wherever they stand near that entity: generalised to
-[TERM], or removed.
+term in a document with an entity reveals it as far as the corpus shows that the two go together: the disclosure of
+entity e by term t is PMI(t; e) / IC(e), with IC(e) = -log2 p(e) and PMI(t; e) = log2(p(t, e) / (p(t) p(e))), where
+p(t), p(e) and p(t, e) are shares of all documents. It is 1 where t is found with e alone, and 0 where t says
+nothing of e. Witnesses are distinct texts that hold both, so copies of one text are one. Terms above the
+threshold, with enough witnesses, are sanitised wherever they stand in a document that holds the entity:
+generalised to [TERM], or removed.
 
 All of it is DataFrame functions. A text is parted by a pattern with split(), and the matches' places are the
 running sums of the lengths.
@@ -38,9 +38,7 @@ PATTERNS = {
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
 _TERM = r"\p{L}{3,}+"
 
-#: Code points before and after an entity that are its surroundings.
-NEAR = 60
-#: Distinct surroundings in which a term must be seen with an entity.
+#: Distinct texts in which a term must be seen with an entity.
 WITNESSES = 3
 #: Of an entity's information, the share that a term may give away.
 DISCLOSURE = 0.8
@@ -126,64 +124,62 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def disclosing_terms(docs: DataFrame, found: DataFrame, *, text_col: str, witnesses: int, disclosure: float) -> DataFrame | None:
-    """(entity, term) above the threshold; None where no term has enough witnesses (nothing more is read then)."""
-    pairs = F.array_distinct(F.flatten(F.transform("context", lambda c: F.transform(c["terms"], lambda t: F.struct(c["entity"].alias("entity"), t["term"].alias("term"))))))
-    n_te = found.select(F.explode(pairs).alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= witnesses)
-    seen = found.select(F.explode("context").alias("c")).select("c.entity", "c.near", F.explode("c.terms.term").alias("term")).distinct()
-    seen = seen.groupBy("entity", "term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= witnesses)
-    joint = stage(n_te.join(seen, ["entity", "term"]), "pii-joint")
+def _names(base: Column) -> Column:
+    """The entities among the spans, each once."""
+    return F.array_distinct(F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+
+
+def _terms(text: Column, base: Column) -> Column:
+    """All terms of a text that holds entities, with their places, but for those that overlap an entity."""
+    kept = F.filter(_found(text, _TERM, "term"), lambda t: ~F.exists(base, lambda o: (o["start"] < t["end"]) & (t["start"] < o["end"])))
+    return F.transform(kept, lambda t: F.struct(F.lower(t["value"]).alias("term"), t["start"].alias("start"), t["end"].alias("end")))
+
+
+def disclosing_terms(docs: DataFrame, texts: DataFrame, *, text_col: str, witnesses: int, disclosure: float) -> DataFrame | None:
+    """(entity, term) above the threshold; None where no term has enough witnesses (nothing more is read then).
+    texts: (copies, names, terms) of each distinct text that holds entities."""
+    n_e = texts.select("copies", F.explode("names").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_e"), F.count("*").alias("n_texts"))
+    known = stage(n_e.filter(F.col("n_texts") >= witnesses).drop("n_texts"), "pii-entities")
+    rows = known.count()
+    if not rows:
+        return None
+    held = texts.select("copies", F.array_distinct("terms.term").alias("words"), F.explode("names").alias("entity")).join(_small(known.select("entity"), rows), "entity")
+    n_te = held.select("entity", "copies", F.explode("words").alias("term")).groupBy("entity", "term").agg(F.sum("copies").alias("n_te"), F.count("*").alias("n_texts"))
+    joint = stage(n_te.filter(F.col("n_texts") >= witnesses).drop("n_texts").join(_small(known, rows), "entity"), "pii-joint")
     rows = joint.count()
     if not rows:
         return None
     # Counted for all terms before the join: its rows follow the terms, not the places where they stand.
     words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(_TERM), F.lit(0)))).alias("term"))
     n_t = words.groupBy("term").agg(F.count("*").alias("n_t"))
-    n_e = found.select(F.explode(F.array_distinct("context.entity")).alias("entity")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    n = F.lit(float(max(found.count(), 2)))
-    known = n_t.join(_small(joint, rows), "term").join(n_e, "entity")
+    n = F.lit(float(max(docs.count(), 2)))
     ic = F.log2(n / F.col("n_e"))
     pmi = F.log2(F.col("n_te") * n / (F.col("n_t") * F.col("n_e")))
-    return known.filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
+    return n_t.join(_small(joint, rows), "term").filter((ic > 0) & (pmi >= disclosure * ic)).select("entity", "term")
 
 
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", witnesses: int = WITNESSES, disclosure: float = DISCLOSURE) -> DataFrame:
     """id, hash (of the text), base and spans (arrays of start, rank, kind, end, value), a row per document."""
     own = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("__text"))
-    found = stage(own.withColumn("base", base_spans(F.col("__text"))).withColumn("hash", F.xxhash64("__text")).select("doc", "hash", "base", _context(F.col("__text"), F.col("base")).alias("context")), "pii-base")
-    flagged = disclosing_terms(docs, found, text_col=text_col, witnesses=witnesses, disclosure=disclosure)
+    spans = own.withColumn("base", base_spans(F.col("__text"))).withColumn("hash", F.xxhash64("__text"))
+    terms = F.when(F.size("base") > 0, _terms(F.col("__text"), F.col("base")))
+    found = stage(spans.select("doc", "hash", "base", terms.alias("terms")), "pii-base")
+    # Equal texts have equal spans, so the hash of a text is key enough, and a row of them is as long as a text.
+    held = found.filter(F.size("base") > 0).groupBy("hash").agg(F.count("*").alias("copies"), F.first("base").alias("base"), F.first("terms").alias("terms"))
+    texts = stage(held.select("hash", "copies", _names(F.col("base")).alias("names"), "terms"), "pii-texts")
+    flagged = disclosing_terms(docs, texts, text_col=text_col, witnesses=witnesses, disclosure=disclosure)
     if flagged is None:
         return found.select(F.col("doc").alias(id_col), "hash", "base", F.col("base").alias("spans"))
     flagged = stage(flagged, "pii-terms")
-    near = found.select("hash", F.explode("context").alias("c")).select("hash", "c.entity", F.explode("c.terms").alias("t")).select("hash", "entity", "t.*")
-    hits = near.distinct().join(_small(flagged, flagged.count()), ["entity", "term"])
-    span = F.struct("start", F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"), "end", F.col("term").alias("value"))
-    # Equal texts have equal spans, so the hash of a text is key enough, and a row of them is as long as a text.
-    extra = hits.groupBy("hash").agg(F.collect_set(span).cast(_SPAN).alias("extra"))
+    told = texts.select("hash", F.explode("names").alias("entity")).join(_small(flagged, flagged.count()), "entity").groupBy("hash").agg(F.collect_set("term").alias("told"))
+    hits = F.filter("terms", lambda t: F.array_contains("told", t["term"]))
+    span = lambda t: F.struct(t["start"].alias("start"), F.lit(KINDS.index("term")).alias("rank"), F.lit("term").alias("kind"), t["end"].alias("end"), t["term"].alias("value"))
+    extra = texts.join(told, "hash").select("hash", F.transform(hits, span).cast(_SPAN).alias("extra"))
     joined = found.select("doc", "hash", "base").join(extra, "hash", "left")
     spans = F.sort_array(F.concat("base", F.coalesce("extra", F.array().cast(_SPAN))))
     return joined.select(F.col("doc").alias(id_col), "hash", "base", spans.alias("spans"))
 
 
-def _context(text: Column, base: Column) -> Column:
-    """For each entity: its name, the hash of its surroundings, and the terms there with their places."""
-
-    def of(s: Column) -> Column:
-        a = F.greatest(F.lit(0), s["start"] - NEAR)
-        before, after = F.substring(text, a + 1, s["start"] - a), F.substring(text, s["end"] + 1, F.lit(NEAR))
-        cut = (a > 0) & F.substring(text, a, F.lit(1)).rlike(r"\p{L}")
-
-        def terms(part: Column, shift: Column, ok) -> Column:
-            kept = F.filter(_found(part, _TERM, "term"), lambda t: ok(t) & ~F.exists(base, lambda o: (o["start"] < t["end"] + shift) & (t["start"] + shift < o["end"])))
-            return F.transform(kept, lambda t: F.struct(F.lower(t["value"]).alias("term"), (t["start"] + shift).alias("start"), (t["end"] + shift).alias("end")))
-
-        # A word that the border of the surroundings cuts is no term here.
-        left, right = terms(before, a, lambda t: ~(cut & (t["start"] == 0))), terms(after, s["end"], lambda t: t["end"] < NEAR)
-        return F.struct(F.concat_ws(":", s["kind"], F.lower(s["value"])).alias("entity"), F.xxhash64(F.lower(before), F.lower(after)).alias("near"), F.concat(left, right).alias("terms"))
-
-    return F.transform(base, of)
-
-
 def rewritten(text: Column, spans: Column, generalise: bool = True) -> Column:
     """The text with each span replaced by its kind; terms are generalised to [TERM] or removed. Of spans that
     overlap, the first is written, and the text goes on after the end of them all."""

@@ -95,3 +95,14 @@ def test_query_is_native(spark):
     plan = pii.find(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(pii.F.sha2(pii.F.lit(""), 256).alias("h")).first().h
+
+
+def test_terms_far_from_the_entity(spark):
+    fill = "and so the plan of the memo goes on about us " * 20
+    docs = pool(spark, [(60 + i, f"quexley {fill} {w} {fill} write to bo@corp.org now, {w} quexley", "s") for i, w in enumerate(["ash", "oak", "elm"])] + [(70, "quexley alone", "s")])
+    got = {r.doc_id: r for r in pii.find(docs).collect()}
+    for i in (60, 61, 62):
+        assert [(s.start, s.value) for s in got[i].spans if s.kind == "term" and s.value == "quexley"] == [(0, "quexley"), (got[i].base[0].end + 10, "quexley")]
+    assert [s for s in got[70].spans] == []
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
+    assert clean[60].startswith("[TERM] and so") and "quexley" not in clean[62] and clean[70] == "quexley alone"
