@@ -6,6 +6,9 @@ of the largest sum, which is the article. The weights are log-odds counted on la
 mark their article with <article> or <main> label themselves, and a bounded sample of them is enough. Blocks of
 the region that lie in a menu, sidebar, form, advert, comment list or the like are left out.
 
+Controls, drawings and embedded objects are left out up to their own end tag, and nothing where there is none;
+only raw text (scripts, styles and the like) without an end goes on to the end of the page.
+
 Cases: null or empty html gives an empty text; markup may be cut off, unclosed or badly nested; all of a very
 long page is read and none of its text dropped; repeated rows are done each; an empty table gives no rows;
 without labelled pages the weights are the defaults below; only the named columns are read.
@@ -31,7 +34,10 @@ SAMPLE_BYTES = 65_536
 
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*(?:\"[^\"]*\"[^\"'>]*|'[^']*'[^\"'>]*)*)>")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_RAW = frozenset("script style noscript template title textarea iframe svg math select option button object canvas".split())
+_RAW = frozenset("script style title textarea iframe xmp noembed noframes".split())
+#: Left out up to their own end tag; one that has none (an option's is optional) is a tag like others.
+_LEFT_OUT = frozenset("noscript template svg select option button object canvas".split())
+_SKIP = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{'|'.join(sorted(_RAW))})(?=[\s/>])[^>]*(?<!/)>.*?(?:</(?P=raw)\s*>|\Z)|{_TAG.pattern}", re.I | re.S)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
@@ -60,11 +66,37 @@ def _boxed(name: str, attrs: str, in_article: bool) -> bool:
     return False
 
 
+def _ends(page: str) -> dict[int, int]:
+    """For the elements to leave out, by the place of the tag: where they end, if they do before what holds them."""
+    stack: list[tuple[str, int]] = []
+    held: Counter[str] = Counter()
+    out: dict[int, int] = {}
+    for m in _SKIP.finditer(page):
+        closing, name, attrs = m.groups()[1:]
+        if name is None:
+            continue
+        name = name.lower()
+        if not closing:
+            if name not in _VOID and not attrs.endswith("/"):
+                stack.append((name, m.start()))
+                held[name] += 1
+            continue
+        while held[name]:
+            top, start = stack.pop()
+            held[top] -= 1
+            if top == name:
+                if name in _LEFT_OUT:
+                    out[start] = m.end()
+                break
+    return out
+
+
 def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, in_article): kind 'tag ...' for tags, 'word ...' for stretches of text, 'break' between blocks."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is a box
     boxes = links = articles = 0
     block, at, n = "other", 0, len(page)
+    ends: dict[int, int] | None = None
 
     def text(a: int, b: int) -> tuple[str, str, bool]:
         kind = "box" if boxes else "link" if links else block
@@ -107,6 +139,11 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                 end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
                 at = n if end is None else end.end()
             continue
+        if name in _LEFT_OUT and not closing:
+            ends = _ends(page) if ends is None else ends
+            if lt in ends:
+                at = ends[lt]
+                continue
         if closing:
             depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             box = bool(boxes)

@@ -50,3 +50,21 @@ def test_query(spark):
     got = h.extract_pages(pages, h.fit(pages), keep=["page_id", "url"]).collect()
     assert sorted((r.page_id or 0, r.text, r.n_chars) for r in got) == sorted([(1, TEXT, len(TEXT))] * 2 + [(0, TEXT, len(TEXT)), (2, "", 0), (3, "", 0)])
     assert h.fit(pages.limit(0)) == h.DEFAULTS and h.extract_pages(pages.limit(0), h.DEFAULTS, keep=["page_id"]).count() == 0
+
+
+def test_elements_without_an_end_lose_no_text():
+    body = "<article><p>First words of the story.</p><p>Last words of it all.</p></article>"
+    want = "First words of the story.\n\nLast words of it all."
+    for name in ("button", "canvas", "object", "svg", "select", "noscript", "template"):
+        for lead in (f"<{name}>", f"<div><{name}></div>", f"<{name}><script>'</{name}>'</script><!-- </{name}> -->", f"<{name} x=\"</{name}>\">"):
+            assert h.extract(lead + body, h.DEFAULTS) == want
+            assert h.extract(lead + body + f"<{name}>Go</{name}>", h.DEFAULTS) == want
+        assert h.extract(f"<{name}>Go <b>on</b></{name}>" + body, h.DEFAULTS) == want
+        assert h.extract(f"<{name}>a<{name}>b</{name}>c</{name}>" + body, h.DEFAULTS) == want
+    for lead in ("<datalist><option>a<option>b</datalist>", "<option>a<option>b", "<select><option>a<option>b</select>"):
+        got = h.extract(lead + body, h.DEFAULTS)
+        assert got.endswith(want)
+    assert h.extract("<p>so <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> holds here</p>", h.DEFAULTS) == "so x = 2 holds here"
+    assert h.extract("<p>one</p><script>x <p>two</p>", h.DEFAULTS) == "one"
+    long = "<button>" * 20_000 + "<p>" + "word " * 1000
+    assert h.extract(long, h.DEFAULTS).endswith("word word")
