@@ -30,7 +30,7 @@ SAMPLE_DOCS = 150
 SAMPLE_BYTES = 16_384
 ORDER = 4
 #: Contexts of a tree, the most frequent first; shorter ones come before longer ones.
-CONTEXTS = 3_000
+CONTEXTS = 6_000
 #: Bytes of a piece that is scored in step with others.
 PIECE = 512
 #: Bits a byte of the shortest code above which a text is in no learned language.
@@ -49,7 +49,9 @@ class Model:
         state = {c: i for i, c in enumerate(names)}
         n = len(names)
         self.next = np.zeros((n, 256), dtype=np.int32)
-        self.cost = np.zeros((n, 256, max(1, len(trees))), dtype=np.float32)
+        # A state's code lengths in a language are those of its longest suffix in the tree: each row is held once.
+        self.row = np.zeros((n, max(1, len(trees))), dtype=np.int32)
+        rows: list[np.ndarray] = []
         for c, i in state.items():
             if c:
                 self.next[i] = self.next[state[c[1:]]]
@@ -58,16 +60,17 @@ class Model:
                     if (to := state.get(c + bytes((d,)))) is not None:
                         self.next[i, d] = to
         for k, tree in enumerate(trees):
-            memo: dict[bytes, np.ndarray] = {}
+            memo: dict[bytes, int] = {}
             for c, i in state.items():
                 own = c
                 while own not in tree:
                     own = own[1:]
                 if own not in memo:
-                    memo[own] = _code_lengths(own, tree)
-                self.cost[i, :, k] = memo[own]
+                    memo[own] = len(rows) * 256
+                    rows.append(_code_lengths(own, tree).astype(np.float32))
+                self.row[i, k] = memo[own]
         self.next = self.next.reshape(-1)
-        self.cost = np.ascontiguousarray(self.cost.reshape(n * 256, -1))
+        self.cost = np.concatenate(rows) if rows else np.zeros(256, dtype=np.float32)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
@@ -84,13 +87,14 @@ class Model:
                 grid[r, self.order - lead[r] : self.order + b - a] = got
             grid = np.ascontiguousarray(grid.T)
             at = np.zeros(len(part), dtype=np.int32)
-            bits = np.zeros((len(part), self.cost.shape[1]))
+            bits = np.zeros((len(part), self.row.shape[1]))
             for s in range(self.order):
                 at = np.where(lead >= self.order - s, self.next[at * 256 + grid[s]], 0)
             live = np.searchsorted(-sizes, -np.arange(int(sizes.max())), side="left")  # pieces that are longer
             for s, n in enumerate(live.tolist()):
-                here = at[:n] * 256 + grid[self.order + s, :n]
-                bits[:n] += self.cost.take(here, axis=0)
+                byte = grid[self.order + s, :n]
+                bits[:n] += self.cost.take(self.row.take(at[:n], axis=0) + byte[:, None])
+                here = at[:n] * 256 + byte
                 at = self.next.take(here)
             np.add.at(out, [i for i, _, _ in part], bits[:, : len(self.langs)])
         return out

@@ -77,3 +77,12 @@ def test_nothing_to_learn_from(spark):
 def test_learns_from_the_training_part_only(spark):
     docs = spark.createDataFrame([(i, "en", EN, 0.0, "z") for i in range(40)] + [(i, "xx", ES, 0.0, "z") for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2], SCHEMA)
     assert langid.fit(docs).langs == ["en"]
+
+
+def test_rich_text_keeps_its_contexts():
+    import random
+
+    rnd = random.Random(8)
+    text = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(10_000)).encode()
+    tree = langid._tree([text], langid.ORDER, langid.CONTEXTS)
+    assert 5_000 < len(tree) <= 6_001
