@@ -40,6 +40,15 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def free(name: str, taken: list[str]) -> str:
+    """A column name like `name` that is not among those taken, in whatever case."""
+    used = {c.lower() for c in taken}
+    name = f"__{name}"
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

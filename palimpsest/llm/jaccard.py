@@ -7,15 +7,19 @@ frequent shingles last in that order, few other sets share one. Sets that share
 1. Stars: in each tile the member of the smallest hash is drawn, under one of several hashes, and a set is
    compared with the one that was drawn most often in its tiles: one pair for each set and hash. Later hashes
    are for sets that are not yet in one component with their star.
-2. What is left: tiles whose members are by then in more than one component are compared whole, but only pairs
-   of different components, in size bands (a set of fewer than 3/4 of the other's shingles can't be
-   similar) and, where a tile is large, in blocks of it.
+2. What is left: tiles whose members are by then in more than one component. They are dealt into size bands (a set
+   of fewer than 3/4 of the other's shingles can't be similar, so a set meets its own band and the two beside
+   it) and, where a band is large, into blocks. Members of the tile's largest component stay at home in their block;
+   only the others visit. A visitor sends its best few pairs with sets of other components. Where it had more, its
+   tile is taken up again with the components as they are by then, and each visitor may send more, until no visitor
+   has any pair left that was not compared.
 
 Tiles of the same members are one tile. A pair is compared by its bitmaps first: a set's bitmap has the parity of
 its shingles for each of four to eight times as many hashed places as it has shingles, and folds to half its width by an
-exclusive or of its halves. The bits in which two bitmaps of one width differ are no more than the shingles the
-sets differ in, which bounds the overlap from above. Pairs that pass have their sorted arrays intersected. So no link between different
-components is missed, no pair within one is made for nothing, and nothing is capped.
+exclusive or of its halves; where tiles are taken up first it is folded to one or two places a shingle. The bits in which two bitmaps of one
+width differ are no more than the shingles the sets differ in, which bounds the overlap from above. Pairs that pass have
+their sorted arrays intersected. So no link between different components is missed, no pair within one is made for
+nothing, and what a tile sends follows its members, not their pairs.
 
 Cases: null, empty and word-less texts have empty sets and are linked with nothing; a text of fewer than five
 words is one shingle; very long texts are taken whole; repeated rows are in one component; a null id counts
@@ -26,13 +30,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, stage, table
+from palimpsest.llm.common import free, ship, stage, table
 from palimpsest.llm.components import components
 
 WORDS = 5
@@ -40,20 +45,24 @@ WORDS = 5
 PERCENT = 75
 #: Bits of a bitmap: the power of two that is not below four times the set's size, within these bounds.
 BITS = (256, 1 << 17)
-#: A shingle counts as frequent if so many documents of some batch have it, and so many of all batches make
-#: the list; which shingles are on it changes only the work, not the result.
-FREQUENT = 8
-FREQUENT_KEPT = 1 << 17
+#: A shingle counts as frequent if so many different sets of some lot of neighbouring texts have it, and so many of
+#: all lots make the list; which shingles are on it changes only the work, not the result.
+FREQUENT = 3
+FREQUENT_KEPT = 1 << 18
+#: Shingles of a lot.
+LOT = 2_000_000
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1 << 19
 #: Rounds of stars, each of so many hashes.
-ROUNDS = ((0, 1), (2, 3), (4, 5, 6, 7))
-#: Members of a block of a large tile.
-BLOCK = 2048
-#: Pairs that a task remembers to have sent.
-SENT = 1_000_000
-#: Rows of ids up to which they are broadcast; more are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
+ROUNDS = ((0, 1), (2, 3))
+#: Sets at home in a block of a large band.
+BLOCK = 4096
+#: Pairs that a visitor sends from a block at first, and by what that grows when its tile is taken up again.
+BEST, MORE = 2, 32
+#: Pairs, and words of bitmaps, that are compared at a time.
+AT_ONCE = 1 << 19
+#: Bytes of fixed-width ids up to which a table is broadcast; larger ones are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, dtype=np.uint64)
@@ -99,6 +108,11 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
+def sig_words(n: int) -> int:
+    """64-bit words of a bitmap as tiles compare it: the power of two of bits that is not below the set's size."""
+    return min(BITS[1], max(BITS[0], 1 << max(0, n - 1).bit_length())) // 64
+
+
 def folded(bits: np.ndarray, words: int) -> np.ndarray:
     """Bitmaps, one or one a row, at a smaller width."""
     while bits.shape[-1] > words:
@@ -128,38 +142,105 @@ def _sizes_fit(n: int, m, percent: int):
     return (100 * n >= percent * m) & (100 * m >= percent * n)
 
 
-def _partners(x: int, at: np.ndarray, n: np.ndarray, bits: list[np.ndarray], percent: int) -> np.ndarray:
-    """Of members `at` of a tile those that size and bitmap let be linked with member x."""
-    at = at[_sizes_fit(int(n[x]), n[at], percent)]
-    widths, out = np.array([len(bits[i]) for i in at], dtype=np.int64), []
-    for w in np.unique(widths):  # a size band has two or three widths
-        part = at[widths == w]
-        words = min(int(w), len(bits[x]))
-        differ = np.bitwise_count(folded(np.stack([bits[i] for i in part]), words) ^ folded(bits[x], words)).sum(axis=1).astype(np.int64)
-        out.append(part[may_link(int(n[x]), n[part], differ, percent)])
-    return np.concatenate([*out, np.zeros(0, np.int64)]).astype(np.int64)
-
-
-def _frequent(docs: DataFrame, k: int) -> set[int]:
-    """Hashes of shingles that many documents have, at most FREQUENT_KEPT."""
+class _Bits:
+    """Bitmaps of several widths, as a matrix a width, and those matrices folded."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.array([len(x) // 8 for x in bits], dtype=np.int64)
+        self.place = np.zeros(len(bits), dtype=np.int64)
+        self.at: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.width).tolist():
+            own = np.flatnonzero(self.width == w)
+            self.place[own] = np.arange(len(own))
+            self.at[w, w] = np.frombuffer(b"".join([bits[i] for i in own]), dtype=np.uint64).reshape(len(own), w)
+
+    def _of(self, width: int, words: int) -> np.ndarray:
+        if (width, words) not in self.at:
+            self.at[width, words] = folded(self.at[width, width], words)
+        return self.at[width, words]
+
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Bits in which i and j differ, at the width of the narrower one."""
+        out = np.zeros(len(i), dtype=np.int64)
+        both = self.width[i] * (1 << 32) + self.width[j]
+        for code in np.unique(both).tolist():
+            a, b = code >> 32, code & 0xFFFFFFFF
+            words = min(a, b)
+            left, right, own = self._of(a, words), self._of(b, words), np.flatnonzero(both == code)
+            for lot in range(0, len(own), step := max(1, AT_ONCE // words)):
+                part = own[lot : lot + step]
+                out[part] = np.bitwise_count(left[self.place[i[part]]] ^ right[self.place[j[part]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def best_pairs(group, visits, major, node, label, n, bits: list[bytes], percent: int, best: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, more) of rows in the order (group, visits): each visitor i with the `best` sets j at home in its group that
+    are of another component and may be linked with it, and whether it had more. Of two sets that visit each other
+    the one of the smaller id does so."""
+    ids = np.flatnonzero(visits)
+    none = np.zeros(0, np.int64)
+    if not len(ids) or len(ids) == len(visits):
+        return none, none, none.astype(bool)
+    first = np.searchsorted(group, group[ids])
+    homes = np.cumsum(~visits)
+    count = homes[ids] - np.where(first > 0, homes[first - 1], 0)
+    sets, out = _Bits(bits), []
+    ends = np.cumsum(count)
+    a = 0
+    while a < len(ids):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + AT_ONCE, side="right")))
+        i = np.repeat(ids[a:b], count[a:b])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(count[a:b]) - count[a:b], count[a:b]) + np.repeat(first[a:b], count[a:b])
+        ok = (label[i] != label[j]) & (major[j] | (node[i] < node[j])) & _sizes_fit(n[i], n[j], percent)
+        i, j = i[ok], j[ok]
+        differ = sets.differ(i, j)
+        ok = may_link(n[i], n[j], differ, percent)
+        i, j, differ = i[ok], j[ok], differ[ok]
+        order = np.lexsort((node[j], differ / (n[i] + n[j]), i))
+        i, j = i[order], j[order]
+        new = np.flatnonzero(np.concatenate((np.ones(min(1, len(i)), bool), i[1:] != i[:-1])))
+        sizes = np.diff(np.append(new, len(i)))
+        rank = np.arange(len(i)) - np.repeat(new, sizes)
+        more, kept = np.repeat(sizes > best, sizes), rank < best
+        out.append((i[kept], j[kept], more[kept]))
+        a = b
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Hashes of shingles that many sets have, at most FREQUENT_KEPT, sorted."""
+
+    def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
+        many = counts >= FREQUENT
+        return pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["h", "n"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets, size, seen = [], 0, set()
         for batch in batches:
-            sets = [shingles(t, k) for t in batch.column(0).cast(pa.binary()).to_pylist()]
-            values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
-            many = counts >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["h", "n"])
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                h = shingles(t, k)
+                digest = hashlib.blake2b(h.tobytes(), digest_size=8).digest()
+                if len(h) and digest not in seen:  # a set counts once in a lot
+                    seen.add(digest)
+                    sets.append(h)
+                    size += len(h)
+            if size >= LOT:
+                yield counted(sets)
+                sets, size, seen = [], 0, set()
+        yield counted(sets)
 
     found = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    return {r.h for r in found.orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).collect()}
+    listed = found.orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).select("h").toArrow().column("h")
+    return np.sort(np.array(listed.to_numpy(), dtype=np.int64).view(np.uint64))
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, frequent) -> DataFrame:
-    """id, n, node, check, bits, keys (the first hashes in the order, 8 bytes each), text_hash."""
+    """id, n, node, check, bits, sig (the bits, folded), keys (the first hashes in the order, 8 bytes each), text_hash."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.sort(np.array(list(frequent.value), dtype=np.int64).view(np.uint64))
+        late = frequent.value
         for batch in batches:
             rows = []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
@@ -174,13 +255,14 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fre
                     h_first = np.concatenate((h[~is_late], h[is_late]))[:first]
                 else:
                     h_first = h[:first]
-                rows.append((n, int.from_bytes(digest[:8], "little", signed=True), digest[8:], bitmap(h).tobytes(), h_first.tobytes()))
-            cols = list(zip(*rows, strict=True)) or [[]] * 5
-            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[id_col, "text_hash", "n", "node", "check", "bits", "keys"])
+                bits = bitmap(h)
+                rows.append((n, int.from_bytes(digest[:8], "little", signed=True), digest[8:], bits.tobytes(), folded(bits, sig_words(n)).tobytes(), h_first.tobytes()))
+            cols = list(zip(*rows, strict=True)) or [[]] * 6
+            types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[id_col, "text_hash", "n", "node", "check", "bits", "sig", "keys"])
 
     source = docs.select(id_col, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"))
-    return source.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n long, node long, check binary, bits binary, keys binary")
+    return source.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n long, node long, check binary, bits binary, sig binary, keys binary")
 
 
 def _tiles(sets: DataFrame, keys: int) -> DataFrame:
@@ -261,7 +343,8 @@ def _stars(tiles: DataFrame, drawn: tuple[int, ...], labels: DataFrame | None) -
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    """df, of long ids alone, for a broadcast if its bytes allow it."""
+    return F.broadcast(df) if 8 * len(df.columns) * df.count() <= BROADCAST_BYTES else df
 
 
 def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
@@ -317,53 +400,59 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str
     return _with_both(pairs, arrays, "hashes").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components that share a tile and may be linked."""
-    label = F.coalesce("label", "node")
-    members = tiles.join(labels, "node", "left").select("tile", "node", label.alias("label"))
-    counts = members.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).filter("lo <> hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = members.join(counts.select("tile", "size"), "tile").join(nodes.select("node", "n", "bits"), "node")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.select("tile", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", "n", "bits")
+def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, best: int, bitmaps: str = "sig") -> DataFrame:
+    """(a, b, tile, more): pairs of different components that share a tile and may be linked by these bitmaps, the
+    best ones of each visitor; `more` where it had others."""
+    # A little wider than the sizes that may be linked, so that rounding can't part two of them by two bands.
+    wide = max(log(100 / percent) * (1 + 1e-6), 1e-6)
+    base = nodes.select("node", F.floor(F.log(F.col("n").cast("double")) / wide).cast("long").alias("band")).join(labels, "node", "left")
+    members = stage(tiles.select("tile", "node").join(base.withColumn("label", F.coalesce("label", "node")), "node"), "members")
+    counts = stage(members.groupBy("tile", "label", "band").agg(F.count("*").alias("c")), "counts")
+    major = F.max_by("label", F.struct("c", "label")).alias("major")
+    mixed_ = counts.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), major).filter("lo <> hi").select("tile", "major")
+    bands = counts.groupBy("tile", F.col("band").alias("home")).agg(F.sum("c").alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"))
+    open_ = stage(members.join(mixed_, "tile"), "mixed")
+    visitors = open_.filter("label <> major").withColumn("home", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    visitors = visitors.join(bands, ["tile", "home"]).filter("lo <> label or hi <> label")
+    blocks = lambda size: F.ceil(F.col(size) / BLOCK).cast("int")
+    visitors = stage(visitors.select("tile", "home", "node", "label", F.explode(F.sequence(F.lit(0), blocks("size") - 1)).alias("block"), "size"), "visitors")
+    met = visitors.groupBy("tile", "home").agg(F.first("size").alias("size"))
+    homes = open_.withColumnRenamed("band", "home").join(met, ["tile", "home"])
+    homes = homes.select("tile", "home", "node", "label", F.pmod(F.xxhash64("node"), blocks("size")).cast("int").alias("block"), F.lit(False).alias("visits"), (F.col("label") == F.col("major")).alias("major"))
+    rows = visitors.select("tile", "home", "node", "label", "block", F.lit(True).alias("visits"), F.lit(False).alias("major")).union(homes)
+    rows = rows.join(nodes.select("node", "n", F.col(bitmaps).alias("bits")), "node")
+    names = ["tile", "home", "block", "visits", "major", "node", "label", "n", "bits"]
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, tile = [], None
-        sent: set[tuple[int, int]] = set()  # the same two sets meet in many tiles
-
-        def pairs() -> pa.RecordBatch:
-            got = pa.Table.from_batches(held)
-            node, lab, n = (got.column(c).to_numpy() for c in ("node", "label", "n"))
-            bits = [np.frombuffer(x, np.uint64) for x in got.column("bits").to_pylist()]
-            out = []
-            values, place, sizes = np.unique(lab, return_inverse=True, return_counts=True)
-            largest = place == sizes.argmax()
-            rank = np.where(largest, len(node), np.arange(len(node)))
-            for x in np.flatnonzero(~largest):  # all of another component; of two small ones each pair once
-                ok = _partners(x, np.flatnonzero((lab != lab[x]) & (rank > x)), n, bits, percent)
-                out.append(np.stack((np.minimum(node[ok], node[x]), np.maximum(node[ok], node[x]))))
-            flat = set(zip(*np.concatenate([*out, np.zeros((2, 0), np.int64)], axis=1).tolist(), strict=True)) - sent
-            if len(sent) > SENT:
-                sent.clear()
-            sent.update(flat)
-            a, b = zip(*flat, strict=True) if flat else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
+        held = None  # the homes of a group that may go on
         for batch in batches:
-            ids = list(zip(*(batch.column(c).to_pylist() for c in ("tile", "i", "j")), strict=True))
-            cuts = [i for i in range(len(ids)) if i == 0 or ids[i] != ids[i - 1]] + [len(ids)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if ids[a] != tile and held:
-                    yield pairs()
-                    held = []
-                tile = ids[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield pairs()
-
-    dealt = rows.repartition("tile", "i", "j").sortWithinPartitions("tile", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+            got = pa.Table.from_batches([*([held] if held else []), batch]).combine_chunks()
+            tile, home, block, node, label, n = (got.column(c).to_numpy() for c in ("tile", "home", "block", "node", "label", "n"))
+            visits, major = (np.array(got.column(c).to_pylist(), dtype=bool) for c in ("visits", "major"))
+            new = (tile[1:] != tile[:-1]) | (home[1:] != home[:-1]) | (block[1:] != block[:-1])
+            group = np.concatenate((np.zeros(min(1, len(tile)), np.int64), np.cumsum(new)))
+            i, j, more = best_pairs(group, visits, major, node, label, n, got.column("bits").to_pylist(), percent, best)
+            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(tile[i]), pa.array(more)], names=["a", "b", "tile", "more"])
+            last = np.flatnonzero((group == group[-1]) & ~visits) if len(group) else []
+            held = got.take(pa.array(last)).combine_chunks().to_batches()[0] if len(last) else None
+
+    dealt = rows.select(*names).repartition("tile", "home", "block").sortWithinPartitions("tile", "home", "block", "visits")
+    return dealt.mapInArrow(compare, "a long, b long, tile long, more boolean")
+
+
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The components that new links make of those before: (node, label) of every node that has a link."""
+    if labels is None:
+        return components(found)
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))
+    links = found.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    links = stage(links.select("a", "b", F.coalesce("label_a", "a").alias("x"), F.coalesce("label_b", "b").alias("y")), "merges")
+    ends = links.select(F.col("a").alias("node"), F.col("x").alias("label")).union(links.select("b", "y"))
+    above = components(links.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
+    above = above.select(F.col("node").alias("label"), F.col("label").alias("new"))
+    both = labels.union(ends).distinct().join(_small(above), "label", "left")
+    return stage(both.select("node", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -372,25 +461,37 @@ def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs.select(text_col), words))
     sets = stage(_sets(docs, id_col, text_col, words, percent, frequent), "sets")
     filled = sets.filter("n > 0")
-    grouped = filled.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("text_hash").alias("text_hash"), F.min("check").alias("lo"), F.max("check").alias("hi"))
+    one = lambda c: F.first(c).alias(c)
+    grouped = filled.groupBy("node").agg(one("n"), one("bits"), one("sig"), one("text_hash"), F.min("check").alias("lo"), F.max("check").alias("hi"))
     nodes = stage(grouped, "nodes")
     if nodes.filter("lo <> hi").limit(1).count():
         raise RuntimeError("two different sets have one 64-bit node id")
     keys = filled.agg(F.sum(F.octet_length("keys")) / 8).first()[0]
     tiles = stage(_tiles(filled, int(keys or 0)), "tiles")
-    tried = links = labels = None
-    for drawn in ROUNDS:
-        pairs = _stars(tiles, drawn, labels)
+    tried = labels = None
+
+    def compared(pairs: DataFrame) -> bool:
+        """Have new pairs (a, b) compared, and the components updated; whether there was any."""
+        nonlocal tried, labels
         pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stage(_near(stage(pairs, "stars"), nodes, percent), "pairs")
-        if tried is not None and not pairs.limit(1).count():
-            continue  # nothing new to compare
-        found = stage(_verified(pairs, docs, nodes, text_col, words, percent), "found")
-        tried, links = (pairs, found) if tried is None else (tried.union(pairs), links.union(found))
-        labels = components(links)
-    left = stage(_open_pairs(tiles, nodes, labels, percent).join(tried, ["a", "b"], "left_anti"), "open")
-    if left.limit(1).count():
-        labels = components(links.union(_verified(left, docs, nodes, text_col, words, percent)))
+        near = stage(_near(stage(pairs, "new"), nodes, percent), "near")
+        if tried is not None and not near.limit(1).count():
+            return False
+        found = stage(_verified(near, docs, nodes, text_col, words, percent), "found")
+        tried, labels = near if tried is None else tried.union(near), _merged(labels, found)
+        return True
+
+    for drawn in ROUNDS:
+        compared(_stars(tiles, drawn, labels))
+    best = BEST
+    while True:
+        # Many sets meet at first, by narrow bitmaps; the few tiles that are taken up again are told by the whole ones.
+        sent = stage(_open_pairs(tiles, nodes, labels, percent, best, "sig" if best == BEST else "bits"), "open")
+        again = sent.filter("more").select("tile").distinct()
+        compared(sent.select("a", "b").distinct())
+        if not again.limit(1).count():
+            break
+        tiles, best = stage(tiles.join(_small(again), "tile", "left_semi"), "tiles"), best * MORE
     named = sets.join(labels, "node", "left")
     return named.select(id_col, "text_hash", "n", F.when(F.col("n") > 0, F.coalesce("label", "node")).alias("label"))
 
@@ -409,12 +510,14 @@ def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "text_hash")).alias("m")
     kept = rows.filter("n > 0").groupBy("label").agg(first).select(F.col("m.id").alias("__id"), F.col("m.text_hash").alias("__hash"))
     kept = kept.union(rows.filter("n = 0").select(id_col, "text_hash").distinct())
-    hashed = docs.withColumn("__own", F.xxhash64(text_col))
-    out = hashed.join(kept, (F.col("__own") == F.col("__hash")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    own = free("own", docs.columns)
+    kept = kept.select(F.col("__id").alias(kept_id := free("id", docs.columns)), F.col("__hash").alias(kept_hash := free("hash", docs.columns)))
+    hashed = docs.withColumn(own, F.xxhash64(text_col))
+    out = hashed.join(kept, (F.col(own) == F.col(kept_hash)) & F.col(id_col).eqNullSafe(F.col(kept_id)), "left_semi")
     if rows.filter("n > 0").groupBy(id_col, "text_hash").count().filter("count > 1").limit(1).count():
         empty = ~F.coalesce(F.col(text_col), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
-        out = out.filter(empty).union(out.filter(~empty).dropDuplicates([id_col, "__own"]))
-    return out.drop("__own")
+        out = out.filter(empty).union(out.filter(~empty).dropDuplicates([id_col, own]))
+    return out.drop(own)
 
 
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

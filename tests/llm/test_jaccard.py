@@ -57,6 +57,29 @@ def run(spark, rows):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in j.join(docs).collect()), key=str)
 
 
+def pairs(sets, visits, best, labels=None):
+    """best_pairs() of one group, homes first, as places in `sets`."""
+    order = sorted(range(len(sets)), key=lambda i: visits[i])
+    bits = [j.folded(j.bitmap(sets[i]), j.sig_words(len(sets[i]))).tobytes() for i in order]
+    n, ids = np.array([len(sets[i]) for i in order]), np.array(order, dtype=np.int64)
+    flags = np.array([visits[i] for i in order])
+    label = ids if labels is None else np.array([labels[i] for i in order])
+    i, k, more = j.best_pairs(np.zeros(len(order), np.int64), flags, ~flags, ids, label, n, bits, 75, best)
+    return [(order[x], order[y], bool(m)) for x, y, m in zip(i, k, more, strict=True)]
+
+
+def test_best_pairs(monkeypatch):
+    base = np.arange(1, 401, dtype=np.uint64)
+    near = [j.mixed(np.sort(np.concatenate((base[d:], base[:d] + np.uint64(10_000))))) for d in (0, 5, 10, 20, 300)]
+    visits = [True, False, False, False, False]
+    for size in (1, 7, 1 << 19):
+        monkeypatch.setattr(j, "AT_ONCE", size)
+        assert pairs(near, visits, 2) == [(0, 1, True), (0, 2, True)]
+        assert pairs(near, visits, 3) == [(0, 1, False), (0, 2, False), (0, 3, False)]
+        assert pairs(near, visits, 3, [7, 7, 1, 2, 3]) == [(0, 2, False), (0, 3, False)]
+        assert pairs(near, [True] * 5, 3) == pairs(near, [False] * 5, 3) == []
+
+
 def test_shingles_and_bound():
     rnd = random.Random(1)
     texts = [t for _, t in corpus(3)]
@@ -68,8 +91,7 @@ def test_shingles_and_bound():
         want = bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
         assert j.similar(sets[a], sets[b]) == want
         if want:
-            n = np.array([len(sets[a]), len(sets[b])])
-            assert j._partners(0, np.array([1]), n, [j.bitmap(sets[a]), j.bitmap(sets[b])], 75).tolist() == [1]
+            assert pairs([sets[a], sets[b]], [True, False], best=1) == [(0, 1, False)]
 
 
 def test_against_brute_force(spark):
@@ -79,15 +101,18 @@ def test_against_brute_force(spark):
 
 def test_small_limits_change_nothing(spark, monkeypatch):
     rows = corpus(2, groups=8, size=14)
-    for name, value in (("FREQUENT", 4), ("BLOCK", 3), ("BUCKET_KEYS", 50), ("BROADCAST_ROWS", 2)):
+    for name, value in (("FREQUENT", 4), ("LOT", 300), ("BLOCK", 3), ("BUCKET_KEYS", 50), ("BROADCAST_BYTES", 20)):
         monkeypatch.setattr(j, name, value)
     assert run(spark, rows) == brute(rows)
 
 
 def test_what_the_star_leaves_open(spark, monkeypatch):
     monkeypatch.setattr(j, "BLOCK", 3)
+    monkeypatch.setattr(j, "BEST", 1)
+    monkeypatch.setattr(j, "MORE", 2)
     # The star draws nothing: every pair must come from the tiles' open pairs.
-    monkeypatch.setattr(j, "_near", lambda pairs, nodes, percent: pairs.limit(0))
+    stars = j._stars
+    monkeypatch.setattr(j, "_stars", lambda *x: stars(*x).limit(0))
     rows = corpus(4, groups=6)
     assert run(spark, rows) == brute(rows)
 
