@@ -2,7 +2,7 @@
 
 A document's set is a sorted array of 64-bit shingle hashes. Equal sets are one node. Two sets that are similar
 enough have a shingle in common among the first quarter (and one) of each in any fixed order; with
-frequent shingles last in that order, few other sets share one. Sets that share one meet in a tile:
+frequent shingles last in that order, the most frequent at its end, few other sets share one. Sets that share one meet in a tile:
 
 1. Stars: in each tile the member of the smallest hash is drawn, under one of several hashes, and a set is
    compared with the one that was drawn most often in its tiles: one pair for each set and hash. Later hashes
@@ -45,10 +45,10 @@ WORDS = 5
 PERCENT = 75
 #: Bits of a bitmap: the power of two that is not below four times the set's size, within these bounds.
 BITS = (256, 1 << 17)
-#: A shingle counts as frequent if so many different sets of some lot of neighbouring texts have it, and so many of
-#: all lots make the list; which shingles are on it changes only the work, not the result.
-FREQUENT = 3
-FREQUENT_KEPT = 1 << 18
+#: A shingle counts as frequent if so many different sets of some lot of neighbouring texts have it, and twice as many of
+#: such lots together; so many make the list; which shingles are on it changes only the work, not the result.
+FREQUENT = 2
+FREQUENT_KEPT = 1 << 19
 #: Shingles of a lot.
 LOT = 2_000_000
 #: Keys of a bucket, about.
@@ -207,8 +207,8 @@ def best_pairs(group, visits, major, node, label, n, bits: list[bytes], percent:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Hashes of shingles that many sets have, at most FREQUENT_KEPT, sorted."""
+def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that many sets have, at most FREQUENT_KEPT, sorted, and their places by how many do."""
 
     def counted(sets: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
@@ -230,9 +230,13 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
                 sets, size, seen = [], 0, set()
         yield counted(sets)
 
-    found = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    listed = found.orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).select("h").toArrow().column("h")
-    return np.sort(np.array(listed.to_numpy(), dtype=np.int64).view(np.uint64))
+    found = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2 * FREQUENT)
+    listed = found.orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).toArrow()
+    h, n = (np.array(listed.column(c).to_numpy(), dtype=np.int64) for c in ("h", "n"))
+    order = np.argsort(h.view(np.uint64))
+    rank = np.zeros(len(h), dtype=np.int32)
+    rank[np.lexsort((h, n))] = np.arange(len(h))
+    return h.view(np.uint64)[order], rank[order]
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, frequent) -> DataFrame:
@@ -240,7 +244,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fre
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = frequent.value
+        late, rank = frequent.value
         for batch in batches:
             rows = []
             for t in batch.column(1).cast(pa.binary()).to_pylist():
@@ -252,7 +256,9 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fre
                     at = np.searchsorted(late, h)
                     at[at == len(late)] = 0
                     is_late = late[at] == h
-                    h_first = np.concatenate((h[~is_late], h[is_late]))[:first]
+                    h_first = h[~is_late][:first]
+                    if len(h_first) < first:  # of the frequent ones the rarest
+                        h_first = np.concatenate((h_first, h[is_late][np.argsort(rank[at[is_late]])]))[:first]
                 else:
                     h_first = h[:first]
                 bits = bitmap(h)
@@ -355,8 +361,8 @@ def _with_both(pairs: DataFrame, of: DataFrame, column: str) -> DataFrame:
     return others.join(to("a", _small(pairs.select("a").distinct())), "a").select("a", "b", f"{column}_a", f"{column}_b")
 
 
-def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), a written table, those that size and bitmap let be linked."""
+def _near(pairs: DataFrame, nodes: DataFrame, percent: int, bitmaps: str) -> DataFrame:
+    """Of pairs (a, b), a written table, those that size and these bitmaps let be linked."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,7 +374,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
                 keep.append(bool(_sizes_fit(a["n"], b["n"], percent) and may_link(a["n"], b["n"], differ, percent)))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_both(pairs, nodes.select("node", F.struct("n", "bits").alias("set")), "set").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, nodes.select("node", F.struct("n", F.col(bitmaps).alias("bits")).alias("set")), "set").mapInArrow(run, "a long, b long")
 
 
 def _arrays(docs: DataFrame, needed: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -470,11 +476,12 @@ def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     tiles = stage(_tiles(filled, int(keys or 0)), "tiles")
     tried = labels = None
 
-    def compared(pairs: DataFrame) -> bool:
-        """Have new pairs (a, b) compared, and the components updated; whether there was any."""
+    def compared(pairs: DataFrame, *bitmaps: str) -> bool:
+        """Have new pairs (a, b) compared, first by these bitmaps, and the components updated; whether there was any."""
         nonlocal tried, labels
-        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
-        near = stage(_near(stage(pairs, "new"), nodes, percent), "near")
+        near = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "new")
+        for column in bitmaps:
+            near = stage(_near(near, nodes, percent, column), "near")
         if tried is not None and not near.limit(1).count():
             return False
         found = stage(_verified(near, docs, nodes, text_col, words, percent), "found")
@@ -482,13 +489,13 @@ def labelled(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         return True
 
     for drawn in ROUNDS:
-        compared(_stars(tiles, drawn, labels))
+        compared(_stars(tiles, drawn, labels), "sig", "bits")
     best = BEST
     while True:
         # Many sets meet at first, by narrow bitmaps; the few tiles that are taken up again are told by the whole ones.
         sent = stage(_open_pairs(tiles, nodes, labels, percent, best, "sig" if best == BEST else "bits"), "open")
         again = sent.filter("more").select("tile").distinct()
-        compared(sent.select("a", "b").distinct())
+        compared(sent.select("a", "b").distinct(), "bits")
         if not again.limit(1).count():
             break
         tiles, best = stage(tiles.join(_small(again), "tile", "left_semi"), "tiles"), best * MORE
