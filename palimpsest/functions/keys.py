@@ -11,6 +11,7 @@ BLOCK = 4096
 MODE_TYPE, MODE_DIR, MODE_FILE, MODE_LINK = 0o170000, 0o040000, 0o100000, 0o120000
 READONLY = 1
 NAME_MAX, KEY_MAX, VALUE_MAX = 19, 28, 96
+FRAME_MAGIC, FRAME_OP, FRAME_COMMIT = b"PLOG", 1, 2
 
 
 def be(value: Column, width: int) -> Column:
@@ -33,10 +34,6 @@ def in_byte_range(sort_key: Column, start: Column, end: Column) -> Column:
     return (sort_key >= F.concat(start, zero)) & (sort_key < F.concat(end, zero))
 
 
-def kind_of(byte: Column) -> Column:
-    return F.when(byte.isin(DELETED, WHITEOUT), byte).otherwise(F.lit(LIVE))
-
-
 def is_type(mode: Column, kind: int) -> Column:
     return mode.bitwiseAND(F.lit(MODE_TYPE)) == kind
 
@@ -53,10 +50,6 @@ def blocks_of(size: Column) -> Column:
     return F.floor((size + (BLOCK - 1)) / BLOCK).cast("long")
 
 
-def saturating_sub(a: Column, b: Column) -> Column:
-    return F.greatest(F.lit(0).cast("long"), a - b)
-
-
 def name_problem(name: Column) -> Column:
     """Null if the name is valid, else what is wrong with it. Length is in bytes."""
     return (
@@ -65,3 +58,29 @@ def name_problem(name: Column) -> Column:
         .when(name.contains("/") | name.contains("\0"), "character")
         .when(F.octet_length(name) > NAME_MAX, "too long")
     )
+
+
+def epoch_seconds(time: Column) -> Column:
+    """Whole seconds since 1970 of a time without a zone, whatever the session's zone."""
+    return F.timestamp_diff("SECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), time.cast("timestamp_ntz"))
+
+
+def encoded_record(key: Column, value: Column) -> Column:
+    """A log record's bytes: the key's length in one byte, the key, the value. The kind stands in the frame."""
+    return F.concat(be(F.octet_length(key), 1), key, F.coalesce(value, F.lit(b"")))
+
+
+def decoded_record(data: Column) -> Column:
+    """Struct of key and value; null where the bytes are too few."""
+    n = F.conv(F.hex(F.substring(data, F.lit(1), F.lit(1))), 16, 10).cast("int")
+    parts = F.struct(F.substring(data, F.lit(2), n).alias("key"), F.substring(data, n + 2, F.octet_length(data)).alias("value"))
+    return F.when((F.octet_length(data) >= 1) & (F.octet_length(data) >= n + 1), parts)
+
+
+def frame_bytes(seq: Column, frame_kind: Column, op_kind: Column, data: Column) -> Column:
+    return F.concat(F.lit(FRAME_MAGIC), be(seq, 8), be(frame_kind, 1), be(op_kind, 1), be(F.octet_length(data), 2), data)
+
+
+def frame_valid(checksum: Column, seq: Column, expected: Column, frame_kind: Column, op_kind: Column, data: Column) -> Column:
+    """A frame holds if it has its place's seq, a known kind and its checksum."""
+    return (seq == expected) & frame_kind.isin(FRAME_OP, FRAME_COMMIT) & (checksum == F.crc32(frame_bytes(seq, frame_kind, op_kind, data)))

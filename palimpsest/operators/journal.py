@@ -16,18 +16,23 @@ RING = 1024
 def running(frames: DataFrame, value: Column, merge=F.sum, alias: str = "run", through: int = 0) -> DataFrame:
     """A running sum (or max) in seq order, through the row itself or, with through=-1, the one before it.
 
-    No window over the whole log: runs of RING frames are merged to a row each, those rows (a thousandth of
-    the log) are run through in order, and each frame adds its own run's part.
+    No window over the whole log: runs of RING frames are merged to a row each, and those again, so that a millionth
+    of the log is run through in order; each frame adds its own run's part.
     """
     lot = F.floor(F.col("seq") / RING)
     rows = frames.withColumn("__lot", lot).withColumn("__v", value)
-    lots = rows.groupBy("__lot").agg(merge("__v").alias("v"))
-    before = Window.orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
-    lots = lots.select("__lot", F.coalesce(merge("v").over(before), F.lit(0)).alias("__before"))
+    # The same again: runs of RING rows are merged to a row each, so even a log of RING cubed frames ends in RING rows.
+    lots = rows.groupBy("__lot").agg(merge("__v").alias("__t")).withColumn("__high", F.floor(F.col("__lot") / RING))
+    highs = lots.groupBy("__high").agg(merge("__t").alias("__h"))
+    zero = F.lit(0).cast("long")
+    earlier = lambda by: Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    highs = highs.select("__high", F.coalesce(merge("__h").over(earlier("__high")), zero).alias("__far"))
+    near = Window.partitionBy("__high").orderBy("__lot").rowsBetween(Window.unboundedPreceding, -1)
+    both = lambda a, b: F.col(a) + F.col(b) if merge is F.sum else F.greatest(a, b)
+    lots = lots.withColumn("__near", F.coalesce(merge("__t").over(near), zero)).join(F.broadcast(highs), "__high").select("__lot", both("__far", "__near").alias("__before"))
     within = Window.partitionBy("__lot").orderBy("seq").rowsBetween(Window.unboundedPreceding, through)
-    own = F.coalesce(merge("__v").over(within), F.lit(0))
-    both = F.col("__before") + F.col("__own") if merge is F.sum else F.greatest("__before", "__own")
-    return rows.withColumn("__own", own).join(lots, "__lot").withColumn(alias, both).drop("__lot", "__v", "__own", "__before")
+    own = F.coalesce(merge("__v").over(within), zero)
+    return rows.withColumn("__own", own).join(lots, "__lot").withColumn(alias, both("__before", "__own")).drop("__lot", "__v", "__own", "__before")
 
 
 def ring_slots(frames: DataFrame) -> DataFrame:
@@ -58,6 +63,20 @@ def next_seq(frames: DataFrame, start: int) -> DataFrame:
     return frames.agg(F.coalesce(F.max(F.when(F.col("is_commit"), F.col("seq"))) + 1, F.lit(int(start))).cast("long").alias("next_seq"))
 
 
+def commit(ops: DataFrame, next_seq: int, checkpoint_seq: int, order: Sequence[str]) -> tuple[DataFrame, int, bool]:
+    """(frames, next_seq, due): the frames (seq, is_commit, valid, the ops' columns) of one group, a frame for each
+    operation and then the one that commits it, and whether a checkpoint is due before, as the ring is near its end."""
+    from palimpsest.operators.maintain import JOURNAL_SOFT
+    from palimpsest.operators.mutate import numbered
+
+    due = max(0, int(next_seq) - int(checkpoint_seq)) >= JOURNAL_SOFT
+    rest = [c for c in ops.columns if c != "seq"]
+    n = ops.count()
+    frames = numbered(ops.select(*rest), int(next_seq), order).withColumns({"is_commit": F.lit(False), "valid": F.lit(True)})
+    end = ops.sparkSession.sql(f"SELECT {int(next_seq) + n}L AS seq, true AS is_commit, true AS valid")
+    return frames.select("seq", "is_commit", "valid", *rest).unionByName(end, allowMissingColumns=True), int(next_seq) + n + 1, due
+
+
 def replay(entries: DataFrame, frames: DataFrame, start: int, key: Sequence[str]) -> DataFrame:
     """The state after the complete groups of the valid prefix; replaying again changes nothing."""
     ops = groups(valid_prefix(frames, start)).filter(~F.col("is_commit")).select(*entries.columns)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.keys import LIVE, WHITEOUT
-from palimpsest.operators.visible import newest, visible
+from palimpsest.operators.chain import chains
+from palimpsest.operators.visible import newest
 
 #: Fixed values of the data model: frames that a journal may hold before a checkpoint is due, frames of a commit
 #: besides its operations, work that needs no log, first data block, block numbers in a free-list block.
@@ -45,7 +46,14 @@ def orphan_workitems(work: DataFrame, snapshots: DataFrame) -> DataFrame:
     return work.join(snapshots.select("snap_id"), "snap_id", "left_anti")
 
 
-def reclaim(extents: DataFrame, work: DataFrame, snapshots: DataFrame, closure: DataFrame, budget: int) -> DataFrame:
+def dropped(entries: DataFrame, key: Sequence[str], dead: Sequence[int]) -> DataFrame:
+    """(whiteouts, keys): the newest entries that compact_whiteouts and drop_snapshot_keys take away, in one pass."""
+    at = F.col("snap_id").isin([int(s) for s in dead])
+    count = lambda what, name: F.count(F.when(what, 1)).alias(name)
+    return newest(entries, key).agg(count(at & (F.col("kind") == WHITEOUT), "whiteouts"), count(at, "keys"))
+
+
+def reclaim(extents: DataFrame, work: DataFrame, snapshots: DataFrame, budget: int) -> DataFrame:
     """The operations of one bounded slice over deferred deletes, in order.
 
     Work items (ino, snap_id, next_offset) go in (ino, snap_id) order. One whose snapshot is gone is dropped, at a
@@ -53,14 +61,19 @@ def reclaim(extents: DataFrame, work: DataFrame, snapshots: DataFrame, closure:
     item's own snapshot holds it), and then the item is dropped, at 1. Returned: place (from 1), ino, snap_id, op
     ('extent', 'drop', 'orphan'), off, frees, issued: the first operation beyond the budget is there too, not issued.
     """
+    spark = extents.sparkSession
+    # Each item costs 1 at least, so no more than budget + 1 of them are looked at, their files' extents and their chains.
     alive = snapshots.select("snap_id", F.lit(True).alias("alive"))
-    items = work.join(alive, "snap_id", "left")
+    first = work.orderBy("ino", "snap_id").limit(int(budget) + 1).join(alive, "snap_id", "left").select("ino", "snap_id", "next_offset", "alive").collect()
+    items = F.broadcast(spark.createDataFrame(first, "ino long, snap_id long, next_offset long, alive boolean"))
+    lines = chains(snapshots, sorted({r.snap_id for r in first if r.alive}))
+    up = F.broadcast(spark.createDataFrame([(head, at) for head, line in lines.items() for at in line], "snap_id long, at long"))
+    asked = extents.join(F.broadcast(items.select("ino").distinct()), "ino", "left_semi")
+    versions = newest(asked.select("ino", "off", "snap_id", "kind", "seq"), ["ino", "off"]).select("ino", "off", F.col("snap_id").alias("at"), "kind")
     # Each item reads through its own chain: the closest version of each (item, offset) decides.
-    up = closure.select(F.col("start").alias("snap_id"), F.col("snap_id").alias("at"))
-    versions = newest(extents, ["ino", "off"]).select(F.col("ino"), "off", F.col("snap_id").alias("at"), "kind")
-    seen = items.filter("alive").join(F.broadcast(up), "snap_id").join(versions, ["ino", "at"]).filter("off >= next_offset")
-    best = seen.groupBy("ino", "snap_id", "off").agg(F.min_by(F.struct("at", "kind"), "at").alias("e")).filter(F.col("e.kind") == LIVE)
-    rows = best.select("ino", "snap_id", F.lit("extent").alias("op"), "off", (F.col("e.at") == F.col("snap_id")).alias("frees"), F.lit(0).alias("last"))
+    seen = versions.join(items.filter("alive"), "ino").filter("off >= next_offset").join(up, ["snap_id", "at"])
+    best = seen.groupBy("ino", "snap_id", "off").agg(F.min("at").alias("at"), F.min_by("kind", "at").alias("kind")).filter(F.col("kind") == LIVE)
+    rows = best.select("ino", "snap_id", F.lit("extent").alias("op"), "off", (F.col("at") == F.col("snap_id")).alias("frees"), F.lit(0).alias("last"))
     ends = items.select("ino", "snap_id", F.when(F.col("alive").isNull(), "orphan").otherwise("drop").alias("op"), F.lit(None).cast("long").alias("off"), F.lit(False).alias("frees"), F.lit(1).alias("last"))
     # Only the first `budget` operations are needed in order, which is a distributed top-k.
     first = rows.unionByName(ends).orderBy("ino", "snap_id", "last", "off").limit(int(budget) + 1)
@@ -94,5 +107,17 @@ def statfs(high_water: DataFrame, free: DataFrame) -> DataFrame:
     return high_water.agg((F.max("block_nr") + 1).alias("total_blocks")).crossJoin(free.agg(F.count("*").alias("free_blocks")))
 
 
-def visible_extents(extents: DataFrame, chain: Sequence[int]) -> DataFrame:
-    return visible(extents, ["ino", "off"], chain)
+def alloc_blocks(free: DataFrame, requests: DataFrame, high_water: int, order: Sequence[str]) -> DataFrame:
+    """requests with block_nr: the free list (place, block_nr) is taken from its end, then new blocks follow the highest."""
+    from palimpsest.operators.mutate import numbered
+
+    asked = numbered(requests, 1, order).withColumnRenamed("seq", "nth")
+    n_free = free.agg(F.count("*").alias("n_free"))  # one row
+    stack = numbered(free.select((-F.col("place")).alias("back"), "block_nr"), 1, ["back"]).select(F.col("seq").alias("nth"), "block_nr")
+    met = asked.join(stack, "nth", "left").crossJoin(F.broadcast(n_free))
+    return met.withColumn("block_nr", F.coalesce("block_nr", F.lit(int(high_water)) + F.col("nth") - F.col("n_free") - 1)).drop("nth", "n_free")
+
+
+def freed_blocks(free: DataFrame, chain: DataFrame) -> DataFrame:
+    """All blocks that hold no data: the free list's, and those that its chunks are written in."""
+    return free.select("block_nr").union(chain.select("block_nr")).distinct()

@@ -6,8 +6,9 @@ An entry is a row with key columns, snap_id, kind, seq and value columns. Two ru
 * of a key's newest entries on a reader's chain of snapshots, the one of the smallest snap_id, the closest,
   decides: if it is live it is seen, if it is a tombstone the key is hidden.
 
-Both are one aggregation, so a visible scan shuffles once, after a partial aggregation, and the chain's filter
-stands below it, where a scan can use it. The kind is looked at last: earlier would bring deleted rows back.
+Both are aggregations with a partial one before the shuffle, and the chain's filter stands below them, where a scan can
+use it. Where all values have a fixed width they are hash aggregations, a column each, which need no sort; else the
+rest of a row is one struct. The kind is looked at last: earlier would bring deleted rows back.
 """
 
 from __future__ import annotations
@@ -26,17 +27,30 @@ def _rest(entries: DataFrame, given: Sequence[str]) -> list[str]:
     return [c for c in entries.columns if c not in given]
 
 
+_FIXED = ("boolean", "byte", "short", "integer", "long", "float", "double", "date", "timestamp")
+
+
+def _fixed(entries: DataFrame, columns: Sequence[str]) -> bool:
+    return all(entries.schema[c].dataType.typeName() in _FIXED for c in columns)
+
+
 def newest(entries: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row for each (key, snap_id): that of the highest seq."""
     rest = _rest(entries, [*key, "snap_id"])
-    found = entries.groupBy(*key, "snap_id").agg(F.max_by(F.struct(*rest), "seq").alias("e"))
-    return found.select(*key, "snap_id", "e.*")
+    grouped = entries.groupBy(*key, "snap_id")
+    if _fixed(entries, rest):
+        own = [F.max("seq").alias("seq") if c == "seq" else F.max_by(c, "seq").alias(c) for c in rest]
+        return grouped.agg(*own).select(*key, "snap_id", *rest)
+    return grouped.agg(F.max_by(F.struct(*rest), "seq").alias("e")).select(*key, "snap_id", "e.*")
 
 
 def deciding(entries: DataFrame, key: Sequence[str], chain: Sequence[int]) -> DataFrame:
     """One row for each key that has a version on the chain: the one that decides, live or not."""
     rest = _rest(entries, key)
     on_chain = entries.filter(F.col("snap_id").isin([int(s) for s in chain]))
+    if _fixed(entries, rest):
+        own = [F.min("snap_id").alias(c) if c == "snap_id" else F.min_by(c, "snap_id").alias(c) for c in rest]
+        return newest(on_chain, key).groupBy(*key).agg(*own).select(*key, *rest)
     order = F.struct("snap_id", -F.col("seq"))
     return on_chain.groupBy(*key).agg(F.min_by(F.struct(*rest), order).alias("e")).select(*key, "e.*")
 
@@ -69,12 +83,20 @@ def exclusive(entries: DataFrame, key: Sequence[str], chain: Sequence[int]) -> D
     return visible(entries, key, chain).withColumn("own", F.col("snap_id") == int(chain[0]))
 
 
-def view_diff(a: DataFrame, b: DataFrame, key: Sequence[str], value: Sequence[str]) -> DataFrame:
-    """Keys that two views show differently, with both values."""
-    left = a.select(*key, F.struct(*value).alias("a"))
-    right = b.select(*key, F.struct(*value).alias("b"))
-    both = left.join(right, list(key), "full_outer").filter(~F.col("a").eqNullSafe(F.col("b")))
-    return both.select(*key, *[F.col(f"a.{c}").alias(f"a_{c}") for c in value], *[F.col(f"b.{c}").alias(f"b_{c}") for c in value])
+def view_diff(entries: DataFrame, key: Sequence[str], chain_a: Sequence[int], chain_b: Sequence[int], value: Sequence[str]) -> DataFrame:
+    """Keys that two readers see differently, with both values (null: not seen). One pass over the versions."""
+    both = newest(entries.filter(F.col("snap_id").isin([*map(int, chain_a), *map(int, chain_b)])), key)
+    aggs = []
+    for side, line in (("a", chain_a), ("b", chain_b)):
+        order = F.when(F.col("snap_id").isin([int(s) for s in line]), F.col("snap_id"))  # null orders are passed over
+        aggs += [F.min_by(c, order).alias(f"{side}_{c}") for c in ("kind", *value)]
+    seen = both.groupBy(*key).agg(*aggs)
+    shown = lambda side, c: F.when(F.col(f"{side}_kind") == LIVE, F.col(f"{side}_{c}"))
+    there = lambda side: F.coalesce(F.col(f"{side}_kind") == LIVE, F.lit(False))
+    differs = there("a") != there("b")
+    for c in value:
+        differs |= ~shown("a", c).eqNullSafe(shown("b", c))
+    return seen.filter(differs).select(*key, *[shown("a", c).alias(f"a_{c}") for c in value], *[shown("b", c).alias(f"b_{c}") for c in value])
 
 
 def version_counts(entries: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -23,6 +23,8 @@ NAME = ["parent_ino", "name"]
 ROOT, HEAD, MIDDLE, SIDE = K.ROOT_SNAP, 4294967290, 4294967294, 4294967293
 #: A slice of deferred work, and the file and the directories that single look-ups ask for.
 BUDGET, FILE, NATION, CUSTOMER = 128, 7, 103, 1010
+#: The second that requests are made in, and the first inode that they may get.
+NOW, FIRST_INO = 1_700_000_000, 20_000_000
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -114,7 +116,13 @@ def get_extent(spark, d):
 
 @query(f"SELECT ino, mode, nlink, size, parent_ino FROM ino WHERE ino = {CUSTOMER}", _TREE)
 def get_inode(spark, d):
-    return A.inodes(spark, d).filter(F.col("ino") == CUSTOMER).drop("snap_id")
+    asked = A.inode_versions(spark, d).filter(F.col("ino") == CUSTOMER)
+    return V.visible(asked, ["ino"], _chain(spark)).select("ino", "mode", "nlink", "size", "parent_ino")
+
+
+@query("SELECT ino, mode, nlink, size, parent_ino FROM ino WHERE ino NOT IN (SELECT o_orderkey + 10000000 FROM orders WHERE o_orderstatus = 'P')", _TREE)
+def list_inodes(spark, d):
+    return V.visible(A.inode_versions(spark, d), ["ino"], _chain(spark)).select("ino", "mode", "nlink", "size", "parent_ino")
 
 
 @query(f"SELECT parent_ino, name, target_ino, file_kind FROM dirent WHERE parent_ino = {NATION} AND name LIKE '%7'", _TREE)
@@ -123,10 +131,9 @@ def lookup_dirent(spark, d):
     return N.lookup(_names(spark, d), asked).select("parent_ino", "name", "target_ino", "file_kind")
 
 
-@query("SELECT parent_ino, name, target_ino AS ino, mode, nlink, size, CAST(ceil(size / 4096.0) AS BIGINT) AS blocks FROM dirent JOIN ino ON ino.ino = target_ino WHERE dirent.parent_ino % 10 = 0".replace("SELECT parent_ino", "SELECT dirent.parent_ino"), _TREE)
+@query("SELECT parent_ino, name, target_ino AS ino, mode, nlink, size, CAST(ceil(size / 4096.0) AS BIGINT) AS blocks FROM dirent JOIN ino ON ino.ino = target_ino".replace("SELECT parent_ino", "SELECT dirent.parent_ino"), _TREE)
 def lookup_attr(spark, d):
-    names = _names(spark, d)
-    return N.lookup_attr(names, A.inodes(spark, d).drop("parent_ino"), names.filter("parent_ino % 10 = 0"))
+    return N.lookup_attr(_names(spark, d), A.inodes(spark, d).drop("parent_ino"), None)
 
 
 # -- scans
@@ -141,7 +148,8 @@ def merge_runs(spark, d):
 @query("SELECT format('{:016X}{:016X}{:08X}', ino, off, snap_id) AS sk, ino, off, snap_id, kind, seq FROM m WHERE ino >= 10 AND ino < 40")
 def range_scan_all(spark, d):
     logical = F.concat(K.be(F.col("ino"), 8), K.be(F.col("off"), 8))
-    rows = A.extents(spark, d).withColumn("sk", K.sortable(logical, F.col("snap_id")))
+    # The same range on the typed column, which the scan can use, and on the bytes, whose order it is.
+    rows = A.extents(spark, d).filter("ino >= 10 AND ino < 40").withColumn("sk", K.sortable(logical, F.col("snap_id")))
     bound = lambda n: F.concat(K.be(F.lit(n), 8), K.be(F.lit(0), 8))
     rows = rows.filter(K.in_byte_range(F.col("sk"), bound(10), bound(40)))
     return V.newest(rows, KEY).select(F.hex("sk").alias("sk"), "ino", "off", "snap_id", "kind", "seq")
@@ -214,7 +222,7 @@ def exclusive_extents(spark, d):
 @query("SELECT coalesce(a.ino, b.ino) AS ino, coalesce(a.off, b.off) AS off, a.data_block AS a_data_block, b.data_block AS b_data_block FROM vis a FULL JOIN root b ON a.ino = b.ino AND a.off = b.off WHERE a.data_block IS DISTINCT FROM b.data_block")
 def view_diff(spark, d):
     e = A.extents(spark, d)
-    return V.view_diff(V.visible(e, KEY, _chain(spark)), V.visible(e, KEY, [ROOT]), KEY, ["data_block"])
+    return V.view_diff(e, KEY, _chain(spark), [ROOT], ["data_block"])
 
 
 # -- the snapshot tree
@@ -307,8 +315,7 @@ def orphan_workitems(spark, d):
 
 
 def _reclaim(spark, d):
-    s = A.snapshots(spark)
-    return M.reclaim(A.extents(spark, d), A.work_items(spark, d), s, C.closure(s), BUDGET)
+    return M.reclaim(A.extents(spark, d), A.work_items(spark, d), A.snapshots(spark), BUDGET)
 
 
 @query(f"SELECT place, ino, snap_id, op, off, frees FROM placed WHERE place <= {BUDGET}", f"{_BASE},\n{_WORK}")
@@ -349,13 +356,13 @@ def upsert(spark, d):
     return U.upsert(e, U.checked_batch(puts, KEY), KEY).select("ino", "off", "snap_id", "kind", "seq")
 
 
-@query(f"SELECT t.ino, t.off, {HEAD} AS snap_id, CASE WHEN vis.snap_id = {HEAD} THEN 1 WHEN vis.snap_id IS NOT NULL THEN 2 END AS kind, vis.snap_id IS NOT NULL AS deleted FROM (SELECT DISTINCT ino, off FROM e WHERE ino % 5 = 0) t LEFT JOIN vis USING (ino, off)")
+@query(f"SELECT t.ino, t.off, {HEAD} AS snap_id, CASE WHEN vis.snap_id = {HEAD} THEN 1 WHEN vis.snap_id IS NOT NULL THEN 2 END AS kind, vis.snap_id IS NOT NULL AS deleted FROM (SELECT DISTINCT ino, off FROM e) t LEFT JOIN vis USING (ino, off)")
 def delete_resolve(spark, d):
-    e = A.extents(spark, d).filter("ino % 5 = 0")
+    e = A.extents(spark, d)
     return U.delete_resolve(e, e.select(*KEY), KEY, _chain(spark))
 
 
-_GONE = f"""hit AS (SELECT d.parent_ino, d.name, d.target_ino, i.nlink FROM dirent d JOIN ino i ON i.ino = d.target_ino WHERE i.mode = 33188 AND d.parent_ino % 7 = 0),
+_GONE = f"""hit AS (SELECT d.parent_ino, d.name, d.target_ino, i.nlink FROM dirent d JOIN ino i ON i.ino = d.target_ino WHERE i.mode = 33188),
 per AS (SELECT target_ino, max(nlink) - count(*) AS rest FROM hit GROUP BY target_ino)"""
 
 
@@ -366,8 +373,7 @@ UNION ALL SELECT 'deleted_inode', target_ino, NULL, NULL, {HEAD}, 0, NULL FROM p
     f"{_TREE},\n{_GONE}",
 )
 def unlink(spark, d):
-    names = _names(spark, d)
-    return N.unlink(names, A.inodes(spark, d).drop("parent_ino"), names.filter("parent_ino % 7 = 0"), HEAD)
+    return N.unlink(_names(spark, d), A.inodes(spark, d).drop("parent_ino"), None, HEAD)
 
 
 _MOVES = """mv AS (
@@ -388,9 +394,9 @@ def rename(spark, d):
     return N.rename(names, moves, HEAD)
 
 
-@query(f"SELECT ino, off, CASE WHEN off >= 10000 THEN 0 ELSE 10000 - off END AS new_len, {HEAD} AS snap_id, CASE WHEN off >= 10000 THEN CASE WHEN snap_id = {HEAD} THEN 1 ELSE 2 END ELSE 0 END AS kind, off >= 10000 AND snap_id = {HEAD} AS frees FROM vis WHERE ino % 4 = 1 AND off + len > 10000")
+@query(f"SELECT ino, off, CASE WHEN off >= 10000 THEN 0 ELSE 10000 - off END AS new_len, {HEAD} AS snap_id, CASE WHEN off >= 10000 THEN CASE WHEN snap_id = {HEAD} THEN 1 ELSE 2 END ELSE 0 END AS kind, off >= 10000 AND snap_id = {HEAD} AS frees FROM vis WHERE off + len > 10000")
 def truncate(spark, d):
-    seen = V.visible(A.extents(spark, d).filter("ino % 4 = 1"), KEY, _chain(spark))
+    seen = V.visible(A.extents(spark, d), KEY, _chain(spark))
     return X.truncate(seen, seen.select("ino").distinct().withColumn("size", F.lit(10_000)), HEAD)
 
 
@@ -418,11 +424,11 @@ def journal_next_seq(spark, d):
 
 
 @query(
-    f"SELECT ino, off, snap_id, kind, seq FROM e WHERE (snap_id = {ROOT} AND seq > 2000) OR seq IN (SELECT seq FROM closed WHERE NOT is_commit) QUALIFY row_number() OVER (PARTITION BY ino, off, snap_id ORDER BY seq DESC) = 1",
+    f"SELECT ino, off, snap_id, kind, seq FROM e WHERE snap_id = {ROOT} OR seq IN (SELECT seq FROM closed WHERE NOT is_commit) QUALIFY row_number() OVER (PARTITION BY ino, off, snap_id ORDER BY seq DESC) = 1",
     _LOG.replace("{src}", "pre"),
 )
 def journal_replay(spark, d):
-    base = A.extents(spark, d).filter(f"snap_id = {ROOT} AND seq > 2000")
+    base = A.extents(spark, d).filter(F.col("snap_id") == ROOT)
     return J.replay(base, A.frames(spark, d), 0, KEY).select("ino", "off", "snap_id", "kind", "seq")
 
 
@@ -481,46 +487,245 @@ def read_at(spark, d):
     return X.read_segments(sizes, seen, reads)
 
 
-# -- the same operators with whole tables as targets
+# -- the snapshot tree of the data, deeper than a hundred levels
 
+_DEEP = """WITH RECURSIVE snaps AS (
+  SELECT 4294967295 - c_custkey AS snap_id, CASE WHEN c_custkey = 0 THEN 0 WHEN c_custkey % 50 = 0 THEN 4294967295 - c_custkey // 2 ELSE 4294967295 - (c_custkey - 1) END AS parent_id, CAST(c_custkey % 2 AS INT) AS flags FROM customer),
+subvols AS (
+  SELECT s_suppkey + 1 AS subvol_id, 4294967295 - s_suppkey * 13 % 140 AS snap_id, CAST(s_suppkey % 3 % 2 AS INT) AS flags, CASE WHEN s_suppkey = 0 THEN 0 ELSE s_suppkey // 4 + 1 END AS parent_subvol FROM supplier),
+up(start, snap_id, depth) AS (
+  SELECT snap_id, snap_id, 0 FROM snaps UNION ALL
+  SELECT up.start, s.parent_id, up.depth + 1 FROM up JOIN snaps s ON s.snap_id = up.snap_id WHERE s.parent_id <> 0)"""
 
-def whole(of: str, cut: str):
-    """A query with the SQL of another one, without the part that cuts its targets down."""
-    assert cut in SQL[of]
 
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = SQL[of].replace(cut, "")
-        return f
+@query("SELECT start, snap_id, depth FROM up", _DEEP)
+def ancestor_chain_deep(spark, d):
+    return C.closure(A.deep_snapshots(spark, d))
 
-    return add
 
+_PAIRS = "SELECT s.snap_id AS ancestor, v.snap_id AS of FROM snaps s, (SELECT DISTINCT snap_id FROM subvols) v".replace("AS of", 'AS "of"')
+
+
+@query(f"""SELECT ancestor, "of", EXISTS (SELECT 1 FROM up WHERE start = p."of" AND up.snap_id = ancestor) AS is_ancestor FROM ({_PAIRS}) p""", _DEEP)
+def is_ancestor_deep(spark, d):
+    s, v = A.deep_snapshots(spark, d), A.deep_subvols(spark, d)
+    heads = v.select(F.col("snap_id").alias("of")).distinct()
+    return C.is_ancestor(s, s.select(F.col("snap_id").alias("ancestor")).crossJoin(F.broadcast(heads)))
+
+
+@query("SELECT subvol_id, snap_id, has_child, has_dependent FROM b", f"{_DEEP},\n{_BUSY}")
+def snapshot_busy_deep(spark, d):
+    return S.busy(A.deep_snapshots(spark, d), A.deep_subvols(spark, d))
+
+
+@query(
+    f"""SELECT subvol_id, CASE WHEN subvol_id = 1 THEN 'invalid: root' WHEN flags % 2 = 0 THEN 'invalid: writable' WHEN subvol_id = 2 THEN 'busy: active' WHEN snap_id = {ROOT} THEN 'invalid: root snapshot'
+  WHEN has_child THEN 'busy: child' WHEN has_dependent THEN 'busy: dependent' ELSE 'ok' END AS verdict FROM b""",
+    f"{_DEEP},\n{_BUSY}",
+)
+def snapshot_delete_check_deep(spark, d):
+    v = A.deep_subvols(spark, d)
+    return S.delete_check(A.deep_snapshots(spark, d), v, 2, v.select("subvol_id"))
 
-@whole("lookup_attr", " WHERE dirent.parent_ino % 10 = 0")
-def lookup_attr_all(spark, d):
-    names = _names(spark, d)
-    return N.lookup_attr(names, A.inodes(spark, d).drop("parent_ino"), names)
 
+@query(f"SELECT snap_id, parent_id, flags FROM snaps WHERE snap_id <> {ROOT} AND snap_id NOT IN (SELECT up.snap_id FROM up JOIN subvols ON subvols.snap_id = start)", _DEEP)
+def sweep_unreferenced_deep(spark, d):
+    return S.unreferenced(A.deep_snapshots(spark, d), A.deep_subvols(spark, d))
 
-@whole("delete_resolve", " WHERE ino % 5 = 0")
-def delete_resolve_all(spark, d):
+
+@query(f"SELECT snap_id, parent_id, flags FROM snaps WHERE snap_id = {SIDE}")
+def get_snapshot(spark, d):
+    return S.get_snapshot(A.snapshots(spark), SIDE)
+
+
+@query("SELECT subvol_id, snap_id, flags, parent_subvol FROM subvols WHERE subvol_id = 3")
+def get_subvol(spark, d):
+    return S.get_subvol(A.subvols(spark), 3)
+
+
+@query("SELECT subvol_id, snap_id, flags, parent_subvol FROM subvols ORDER BY subvol_id", _DEEP)
+def list_subvols(spark, d):
+    return S.list_subvols(A.deep_subvols(spark, d))
+
+
+@query(f"SELECT ino, off, data_block, len FROM (SELECT * FROM m WHERE snap_id IN (SELECT snap_id FROM up WHERE start = {SIDE}) QUALIFY row_number() OVER (PARTITION BY ino, off ORDER BY snap_id) = 1) WHERE kind = 0")
+def switch_subvol(spark, d):
+    head = S.switch_subvol(A.subvols(spark), 2)
+    return V.visible(A.extents(spark, d), KEY, _chain(spark, head)).select("ino", "off", "data_block", "len")
+
+
+@query(f"SELECT {ROOT} AS snap_id, 0::BIGINT AS parent_id, 0 AS flags, 1::BIGINT AS subvol_id")
+def seed(spark, d):
+    snaps, vols = S.seed(spark)
+    return snaps.join(vols.select("subvol_id", "snap_id"), "snap_id").select("snap_id", "parent_id", "flags", "subvol_id")
+
+
+# -- counts and blocks
+
+
+@query(f"SELECT count(*) FILTER (WHERE kind = 2) AS whiteouts, count(*) AS keys FROM m WHERE snap_id IN ({SIDE}, {MIDDLE})")
+def compact_counts(spark, d):
+    return M.dropped(A.extents(spark, d), KEY, [SIDE, MIDDLE])
+
+
+@query("SELECT ino, snap_id, next_offset FROM work ORDER BY ino, snap_id", f"{_BASE},\n{_WORK}")
+def list_deleted_inodes(spark, d):
+    return A.work_items(spark, d).orderBy("ino", "snap_id").select("ino", "snap_id", "next_offset")
+
+
+_FREE = """fl AS (SELECT row_number() OVER (ORDER BY data_block) - 1 AS place, data_block AS block_nr FROM e WHERE kind = 2)"""
+
+
+@query("SELECT r.c_custkey, coalesce(block_nr, (SELECT max(data_block) + 1 FROM e) + nth - (SELECT count(*) FROM fl) - 1) AS block_nr FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS nth FROM customer) r LEFT JOIN (SELECT row_number() OVER (ORDER BY place DESC) AS nth, block_nr FROM fl) s USING (nth)", f"{_BASE},\n{_FREE}")
+def alloc_blocks(spark, d):
     e = A.extents(spark, d)
-    return U.delete_resolve(e, e.select(*KEY), KEY, _chain(spark))
+    free = U.numbered(e.filter("kind = 2").select(F.col("data_block").alias("block_nr")), 0, ["block_nr"]).withColumnRenamed("seq", "place")
+    return M.alloc_blocks(free, A.read(spark, d, "customer").select("c_custkey"), (e.agg(F.max("data_block")).first()[0] or 64) + 1, ["c_custkey"])
+
+
+@query("SELECT block_nr FROM fl UNION SELECT block_nr + 1 FROM fl WHERE place % 510 = 0", f"{_BASE},\n{_FREE}")
+def freed_blocks(spark, d):
+    free = A.extents(spark, d).filter("kind = 2").select(F.col("data_block").alias("block_nr"))
+    heads = M.free_list_chunks(free).filter("place = 0").select((F.col("block_nr") + 1).alias("block_nr"))
+    return M.freed_blocks(free, heads)
 
 
-@whole("unlink", " AND d.parent_ino % 7 = 0")
-def unlink_all(spark, d):
+# -- handlers
+
+
+@query("SELECT parent_ino, name, target_ino FROM (SELECT ino AS parent_ino, '.' AS name, ino AS target_ino FROM ino WHERE mode = 16877 UNION ALL SELECT ino, '..', CASE WHEN parent_ino = 0 THEN ino ELSE parent_ino END FROM ino WHERE mode = 16877)", _TREE)
+def lookup_dots(spark, d):
+    return N.lookup_dots(A.inodes(spark, d))
+
+
+@query("SELECT ino, CASE mode WHEN 16877 THEN 2 ELSE 1 END AS file_kind, CASE mode WHEN 16877 THEN 493 ELSE 420 END AS perm, nlink, size, CAST(ceil(size / 4096.0) AS BIGINT) AS blocks FROM ino", _TREE)
+def getattr(spark, d):
+    return N.attributes(A.inodes(spark, d))
+
+
+_MAKE = """rq AS (
+  SELECT o_orderkey AS req, o_custkey + 1000 AS parent_ino, CASE o_orderkey % 7 WHEN 0 THEN CAST(o_orderkey AS VARCHAR) WHEN 1 THEN 'a/b' WHEN 2 THEN 'twin' ELSE 'new' || o_orderkey END AS name,
+    CAST(o_orderkey % 3 + 1 AS INT) AS file_kind, CASE WHEN o_orderkey % 3 = 2 THEN 'target ' || o_orderkey END AS target FROM orders),
+rl AS (
+  SELECT *, CASE WHEN name = 'a/b' THEN 'invalid: character' WHEN EXISTS (SELECT 1 FROM dirent x WHERE x.parent_ino = rq.parent_ino AND x.name = rq.name) OR row_number() OVER (PARTITION BY parent_ino, name ORDER BY req) > 1 THEN 'already exists' ELSE 'ok' END AS verdict FROM rq),
+mk AS (SELECT req, row_number() OVER (ORDER BY req) - 1 + 20000000 AS ino FROM rl WHERE verdict = 'ok')"""
+
+
+@query(
+    """SELECT req, verdict, ino, parent_ino, name, file_kind, CASE WHEN ino IS NOT NULL THEN CASE file_kind WHEN 1 THEN 33188 WHEN 2 THEN 16804 ELSE 41471 END END AS mode, CASE WHEN ino IS NOT NULL THEN 7 END AS uid, CASE WHEN ino IS NOT NULL THEN 8 END AS gid,
+  CASE WHEN ino IS NOT NULL THEN CASE file_kind WHEN 2 THEN 2 ELSE 1 END END AS nlink, CASE WHEN ino IS NOT NULL THEN CASE file_kind WHEN 3 THEN strlen(target) ELSE 0 END END AS size,
+  CASE WHEN ino IS NOT NULL THEN 1700000000 END AS atime, CASE WHEN ino IS NOT NULL THEN 1700000000 END AS mtime, CASE WHEN ino IS NOT NULL THEN 1700000000 END AS ctime FROM rl LEFT JOIN mk USING (req)""",
+    f"{_TREE},\n{_MAKE}",
+)
+def make(spark, d):
+    key = F.col("o_orderkey")
+    name = F.when(key % 7 == 0, key.cast("string")).when(key % 7 == 1, "a/b").when(key % 7 == 2, "twin").otherwise(F.concat(F.lit("new"), key.cast("string")))
+    target = F.when(key % 3 == 2, F.concat(F.lit("target "), key.cast("string")))
+    asked = A.read(spark, d, "orders").select(key.alias("req"), (F.col("o_custkey") + 1000).alias("parent_ino"), name.alias("name"), (key % 3 + 1).cast("int").alias("file_kind"), F.lit(0o644).alias("mode"), F.lit(7).alias("uid"), F.lit(8).alias("gid"), target.alias("target"))
+    return N.make(_names(spark, d), asked, FIRST_INO, NOW)
+
+
+_LINK = """rq AS (
+  SELECT o_orderkey AS req, CASE o_orderkey % 5 WHEN 0 THEN o_custkey + 1000 WHEN 1 THEN 5 ELSE (o_orderkey // 4) * 4 + 10000000 END AS ino, o_custkey + 1000 AS parent_ino, CASE o_orderkey % 7 WHEN 0 THEN '..' WHEN 1 THEN 'twin' ELSE 'link' || o_orderkey END AS name FROM orders),
+rl AS (
+  SELECT rq.*, i.nlink AS had, CASE WHEN name = '..' THEN 'invalid: reserved' WHEN mode IS NULL THEN 'not found' WHEN mode = 16877 THEN 'not permitted' WHEN row_number() OVER (PARTITION BY rq.parent_ino, name ORDER BY req) > 1 THEN 'already exists' ELSE 'ok' END AS verdict
+  FROM rq LEFT JOIN ino i ON i.ino = rq.ino)"""
+
+
+@query("SELECT req, verdict, ino, parent_ino, name, CASE WHEN verdict = 'ok' THEN 1 END AS file_kind, CASE WHEN verdict = 'ok' THEN had + count(*) FILTER (WHERE verdict = 'ok') OVER (PARTITION BY ino) END AS nlink, CASE WHEN verdict = 'ok' THEN 1700000000 END AS ctime FROM rl", f"{_TREE},\n{_LINK}")
+def link(spark, d):
+    key = F.col("o_orderkey")
+    target = F.when(key % 5 == 0, F.col("o_custkey") + 1000).when(key % 5 == 1, 5).otherwise(F.floor(key / 4) * 4 + 10_000_000).cast("long")
+    name = F.when(key % 7 == 0, "..").when(key % 7 == 1, "twin").otherwise(F.concat(F.lit("link"), key.cast("string")))
+    asked = A.read(spark, d, "orders").select(key.alias("req"), target.alias("ino"), (F.col("o_custkey") + 1000).alias("parent_ino"), name.alias("name"))
+    return N.link(_names(spark, d), A.inodes(spark, d), asked, NOW)
+
+
+@query(
+    """SELECT o_orderkey + CASE WHEN o_orderkey % 4 = 3 THEN 90000000 ELSE 10000000 END AS ino, CASE WHEN o_orderkey % 4 = 3 THEN 'not found' ELSE 'ok' END AS verdict,
+  CASE o_orderkey % 4 WHEN 0 THEN 33152 WHEN 3 THEN NULL ELSE 33188 END AS mode, CASE o_orderkey % 4 WHEN 1 THEN 9 WHEN 3 THEN NULL ELSE 0 END AS uid, CASE WHEN o_orderkey % 4 <> 3 THEN 0 END AS gid,
+  CASE o_orderkey % 4 WHEN 2 THEN 5000000 WHEN 3 THEN NULL ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS size, CASE WHEN o_orderkey % 4 <> 3 THEN 5 END AS atime, CASE o_orderkey % 4 WHEN 1 THEN 77 WHEN 3 THEN NULL ELSE 6 END AS mtime,
+  CASE WHEN o_orderkey % 4 <> 3 THEN 1700000000 END AS ctime, CASE WHEN o_orderkey % 4 <> 3 THEN o_orderkey % 4 = 2 AND CAST(round(o_totalprice * 100) AS BIGINT) > 5000000 END AS shrinks FROM orders""",
+    "",
+)
+def setattr(spark, d):
+    key = F.col("o_orderkey")
+    when = lambda r, v, t: F.when(key % 4 == r, v).cast(t)
+    asked = A.read(spark, d, "orders").select((key + F.when(key % 4 == 3, 90_000_000).otherwise(10_000_000)).alias("ino"), when(0, 0o600, "int").alias("mode"), when(1, 9, "int").alias("uid"), F.lit(None).cast("int").alias("gid"), when(2, 5_000_000, "long").alias("size"), F.lit(None).cast("long").alias("atime"), when(1, 77, "long").alias("mtime"))
+    own = A.inodes(spark, d).withColumns({"uid": F.lit(0), "gid": F.lit(0), "atime": F.lit(5).cast("long"), "mtime": F.lit(6).cast("long")})
+    return N.setattr(own, asked, NOW)
+
+
+_RMDIR = """rq AS (SELECT parent_ino, name FROM dirent UNION SELECT parent_ino, 'no ' || name FROM dirent),
+rl AS (
+  SELECT rq.*, t.target_ino AS ino, CASE WHEN t.target_ino IS NULL THEN 'not found' WHEN t.file_kind <> 2 THEN 'not a directory' WHEN EXISTS (SELECT 1 FROM dirent c WHERE c.parent_ino = t.target_ino) THEN 'not empty' ELSE 'ok' END AS verdict
+  FROM rq LEFT JOIN dirent t ON t.parent_ino = rq.parent_ino AND t.name = rq.name)"""
+
+
+@query("SELECT verdict, parent_ino, name, ino, CASE WHEN verdict = 'ok' THEN 2 END AS dirent_kind, CASE WHEN verdict = 'ok' THEN 2 END AS inode_kind FROM rl", f"{_TREE},\n{_RMDIR}")
+def rmdir(spark, d):
     names = _names(spark, d)
-    return N.unlink(names, A.inodes(spark, d).drop("parent_ino"), names, HEAD)
+    asked = names.select("parent_ino", "name").union(names.select("parent_ino", F.concat(F.lit("no "), F.col("name"))))
+    return N.rmdir(names, A.inodes(spark, d), asked, HEAD)
 
 
-@whole("truncate", "ino % 4 = 1 AND ")
-def truncate_all(spark, d):
-    seen = V.visible(A.extents(spark, d), KEY, _chain(spark))
-    return X.truncate(seen, seen.select("ino").distinct().withColumn("size", F.lit(10_000)), HEAD)
+@query("SELECT rq.parent_ino, rq.name, CASE WHEN target_ino IS NULL THEN 'not found' WHEN file_kind = 2 THEN 'is a directory' ELSE 'ok' END AS verdict FROM rq LEFT JOIN dirent t ON t.parent_ino = rq.parent_ino AND t.name = rq.name", f"{_TREE},\n{_RMDIR}")
+def unlink_check(spark, d):
+    names = _names(spark, d)
+    asked = names.select("parent_ino", "name").union(names.select("parent_ino", F.concat(F.lit("no "), F.col("name"))))
+    return N.unlink_check(names, A.inodes(spark, d), asked)
 
 
-@whole("journal_replay", " AND seq > 2000")
-def journal_replay_all(spark, d):
-    base = A.extents(spark, d).filter(F.col("snap_id") == ROOT)
-    return J.replay(base, A.frames(spark, d), 0, KEY).select("ino", "off", "snap_id", "kind", "seq")
+@query(
+    "SELECT verdict, parent_ino, name, CASE WHEN verdict = 'ok' THEN 2 END AS kind, target_ino FROM rv UNION ALL SELECT verdict, new_parent, new_name, 0, target_ino FROM rv WHERE verdict = 'ok'",
+    f"""{_TREE},
+mv AS (SELECT parent_ino, name, 1::BIGINT AS new_parent, 'm' || target_ino % 1000 AS new_name, target_ino FROM dirent),
+rv AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY new_name ORDER BY parent_ino, name) > 1 THEN 'already exists' ELSE 'ok' END AS verdict FROM mv)""",
+)
+def rename_to_one(spark, d):
+    names = _names(spark, d)
+    target = F.concat(F.lit("m"), (F.col("target_ino") % 1000).cast("string"))
+    return N.rename(names, names.select("parent_ino", "name", F.lit(1).cast("long").alias("new_parent"), target.alias("new_name")), HEAD)
+
+
+@query("SELECT ino, CASE WHEN mode IN (16877, 33188) THEN 'invalid' END AS verdict, 0::BIGINT AS start, NULL::BIGINT AS count FROM ino", _TREE)
+def readlink(spark, d):
+    own = A.inodes(spark, d)
+    return N.readlink(own, own)
+
+
+@query("SELECT ino, greatest(s.size, w.stop) AS size, 1700000000::BIGINT AS mtime, 1700000000::BIGINT AS ctime FROM (SELECT ino, max(off + len) AS size FROM vis GROUP BY ino) s JOIN (SELECT doc_id AS ino, doc_id % 5 * 1000 + coalesce(strlen(text), 0) AS stop FROM documents) w USING (ino)")
+def written_sizes(spark, d):
+    sizes = X.file_size(V.visible(A.extents(spark, d), KEY, _chain(spark)))
+    writes = A.contents(spark, d).select("ino", "start", F.coalesce(F.octet_length("data"), F.lit(0)).alias("n"))
+    return N.written(sizes, writes, NOW)
+
+
+# -- the log's records and groups
+
+
+@query("SELECT event_id AS seq, format('1C{:016X}{:016X}{:08X}', ino, off, snap_id) || '000000' || format('{:016X}', data_block)  AS hex, format('{:016X}{:016X}{:08X}', ino, off, snap_id) AS key, '000000' || format('{:016X}', data_block) AS value FROM (SELECT seq AS event_id, * FROM e)".replace("1C", "14"))
+def log_records(spark, d):
+    key = K.sortable(F.concat(K.be(F.col("ino"), 8), K.be(F.col("off"), 8)), F.col("snap_id"))
+    rows = A.extents(spark, d).select("seq", K.encoded_record(key, K.be(F.col("data_block"), 11)).alias("r"))
+    rows = rows.withColumn("back", K.decoded_record(F.col("r")))
+    return rows.select("seq", F.hex("r").alias("hex"), F.hex("back.key").alias("key"), F.hex("back.value").alias("value"))
+
+
+@query("SELECT 5000000000 + row_number() OVER (ORDER BY ino, off, snap_id) - 1 AS seq, false AS is_commit, true AS valid, ino, off, snap_id, kind FROM m UNION ALL SELECT 5000000000 + (SELECT count(*) FROM m), true, true, NULL, NULL, NULL, NULL")
+def journal_commit(spark, d):
+    ops = V.newest(A.extents(spark, d), KEY).select("ino", "off", "snap_id", "kind")
+    return J.commit(ops, 5_000_000_000, 4_999_999_900, ["ino", "off", "snap_id"])[0]
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000000 AS seconds FROM events", "")
+def epoch_seconds(spark, d):
+    return A.read(spark, d, "events").select("event_id", K.epoch_seconds(F.col("ts")).alias("seconds"))
+
+
+@query("SELECT count(*) - count(DISTINCT (ino, off, snap_id, seq)) AS repeated, count(*) FILTER (WHERE kind NOT IN (0, 1, 2)) AS odd_kinds, count(*) FILTER (WHERE off % 4096 <> 0 OR len NOT BETWEEN 1 AND 4096) AS odd_extents FROM e")
+def verify(spark, d):
+    e = A.extents(spark, d)
+    odd = F.count_if((F.col("off") % K.BLOCK != 0) | ~F.col("len").between(1, K.BLOCK))
+    counts = e.groupBy(*KEY, "snap_id", "seq").agg(F.count("*").alias("n"), F.count_if(~F.col("kind").isin(0, 1, 2)).alias("k"), odd.alias("x"))
+    return counts.agg(F.sum(F.col("n") - 1).alias("repeated"), F.sum("k").alias("odd_kinds"), F.sum("x").alias("odd_extents"))

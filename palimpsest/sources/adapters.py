@@ -31,18 +31,21 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 def extents(spark: SparkSession, folder: str) -> DataFrame:
     """Extent versions: ino, off, snap_id, kind, seq, data_block, len."""
+    return _events(spark, folder, [])
+
+
+def _events(spark: SparkSession, folder: str, more: list) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", 2).otherwise(0)
     return read(spark, folder, "events").select(
         F.col("user_id").alias("ino"), (k % 10 * 4096).alias("off"), (F.lit(ROOT_SNAP) - F.col("event_id") % 7).alias("snap_id"),
-        kind.alias("kind"), F.col("event_id").alias("seq"), (F.col("event_id") + 65).alias("data_block"), (F.col("event_id") % 4096 + 1).alias("len"),
+        kind.alias("kind"), F.col("event_id").alias("seq"), (F.col("event_id") + 65).alias("data_block"), (F.col("event_id") % 4096 + 1).alias("len"), *more,
     )
 
 
 def frames(spark: SparkSession, folder: str, invalid: int = 777) -> DataFrame:
     """The same versions as a log: purchases are commits, one frame is invalid."""
-    ids = read(spark, folder, "events").select(F.col("event_id").alias("seq"), (F.col("event_type") == "purchase").alias("is_commit"))
-    return ids.withColumn("valid", F.col("seq") != invalid).join(extents(spark, folder), "seq")
+    return _events(spark, folder, [(F.col("event_type") == "purchase").alias("is_commit"), (F.col("event_id") != invalid).alias("valid")])
 
 
 def inodes(spark: SparkSession, folder: str) -> DataFrame:
@@ -60,6 +63,30 @@ def inodes(spark: SparkSession, folder: str) -> DataFrame:
     return both.union(files).withColumn("snap_id", F.lit(ROOT_SNAP))
 
 
+def inode_versions(spark: SparkSession, folder: str) -> DataFrame:
+    """Versions of inodes: all at the root snapshot; those of pending orders are covered by whiteouts at the head."""
+    base = inodes(spark, folder).withColumns({"kind": F.lit(0), "seq": F.lit(1).cast("long")})
+    pending = read(spark, folder, "orders").filter("o_orderstatus = 'P'").select((F.col("o_orderkey") + 10_000_000).alias("ino"))
+    gone = base.join(pending, "ino", "left_semi").withColumns({"snap_id": F.lit(4294967290), "kind": F.lit(2), "seq": F.lit(2).cast("long")})
+    return base.unionByName(gone)
+
+
+def deep_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """A tree from the data, deeper than a hundred levels: a snapshot for each customer, below that of the one before it
+    or, for every fiftieth, of half its key. Customer 0 is the root snapshot."""
+    key = F.col("c_custkey").cast("long")
+    above = F.when(key % 50 == 0, F.floor(key / 2)).otherwise(key - 1).cast("long")
+    parent = F.when(key == 0, F.lit(0).cast("long")).otherwise(F.lit(ROOT_SNAP) - above)
+    return read(spark, folder, "customer").select((F.lit(ROOT_SNAP) - key).alias("snap_id"), parent.alias("parent_id"), (key % 2).cast("int").alias("flags"))
+
+
+def deep_subvols(spark: SparkSession, folder: str) -> DataFrame:
+    """A subvolume for each supplier, whose head is one of the tree's first 140 snapshots."""
+    key = F.col("s_suppkey").cast("long")
+    parent = F.when(key == 0, F.lit(0).cast("long")).otherwise(F.floor(key / 4) + 1)
+    return read(spark, folder, "supplier").select((key + 1).alias("subvol_id"), (F.lit(ROOT_SNAP) - key * 13 % 140).alias("snap_id"), (key % 3 % 2).cast("int").alias("flags"), parent.alias("parent_subvol"))
+
+
 def dirents(spark: SparkSession, folder: str) -> DataFrame:
     """Versions of directory entries: all at the root snapshot; pending orders are covered by whiteouts at the head."""
     of = lambda t: read(spark, folder, t)

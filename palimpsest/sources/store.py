@@ -14,8 +14,10 @@ import zlib
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from palimpsest.operators.errors import AlreadyExists, Corrupt, NotFound
+from palimpsest.operators.journal import groups, next_seq, valid_prefix
 from palimpsest.operators.visible import newest
 
 VERSION = 1
@@ -48,14 +50,33 @@ class Store:
         final = Path(f"{self.path}/manifests/{state['number']:020d}.json")
         if fs.exists(final):
             raise AlreadyExists("another writer has made this commit")
-        temp = Path(f"{self.path}/manifests/.{state['number']:020d}.{id(self)}.tmp")
+        # A number is claimed by making a file that must not be there: of two writers one is refused. A claim whose writer
+        # died is taken away by vacuum().
+        claim = f"{self.path}/manifests/.{state['number']:020d}.claim"
+        if not self._claimed(fs, Path, claim):
+            raise AlreadyExists("another writer is making this commit")
+        temp = Path(f"{self.path}/manifests/.{state['number']:020d}.{uuid.uuid4().hex}.tmp")
         out = fs.create(temp, True)
         out.write(bytearray(text.encode()))
         out.close()
         if not fs.rename(temp, final):
             raise AlreadyExists("another writer has made this commit")
+        fs.delete(Path(claim), False)
         self.state = state
 
+    def _claimed(self, fs, Path, claim: str) -> bool:
+        if fs.getScheme() == "file":
+            made = self.spark.sparkContext._jvm.java.io.File(Path(claim).toUri().getPath())
+            made.getParentFile().mkdirs()
+            return bool(made.createNewFile())
+        try:
+            fs.create(Path(claim), False).close()
+        except Exception as e:  # noqa: BLE001  what the store throws depends on it
+            if "AlreadyExists" in str(e):
+                return False
+            raise
+        return True
+
     @classmethod
     def create(cls, spark: SparkSession, path: str, entries: DataFrame, key: Sequence[str]) -> Store:
         if cls._numbers(spark, path):
@@ -99,13 +120,23 @@ class Store:
         """All stored versions; newest() of them is the state."""
         return self.spark.read.parquet(*[f"{self.path}/{x}" for x in (self.state["base"], *self.state["deltas"])])
 
-    def commit(self, delta: DataFrame) -> None:
-        """Append a delta, all of it or nothing."""
+    def commit(self, delta: DataFrame, **more) -> None:
+        """Append a delta, all of it or nothing. `more` goes into the manifest."""
         number = self.state["number"] + 1
         name = f"delta-{number}-{uuid.uuid4().hex[:8]}"  # a commit that lost leaves a folder that vacuum() takes
         delta.select(*self.entries().columns).write.parquet(f"{self.path}/{name}")
         top = self._top_seq(self.spark.read.parquet(f"{self.path}/{name}"))
-        self._publish(self.state | {"number": number, "deltas": [*self.state["deltas"], name], "next_seq": max(self.next_seq, top + 1)})
+        self._publish(self.state | {"number": number, "deltas": [*self.state["deltas"], name], "next_seq": max(self.next_seq, top + 1)} | more)
+
+    def recover(self, frames: DataFrame) -> int:
+        """Apply the log's complete groups that this store has not seen (frames of the entries' columns, with seq, is_commit
+        and valid); how many operations that were. Done again, it changes nothing."""
+        start = self.state.get("journal_seq", 0)
+        found = groups(valid_prefix(frames, start))
+        ops, after = found.filter(~F.col("is_commit")), next_seq(found, start).first().next_seq
+        if n := ops.count():
+            self.commit(ops.select(*self.entries().columns), journal_seq=int(after))
+        return n
 
     def checkpoint(self) -> None:
         """A new base of the newest entries, sorted by key so that scans skip row groups."""
@@ -121,4 +152,7 @@ class Store:
         gone = [n for s in fs.listStatus(Path(self.path)) if (n := s.getPath().getName()) not in kept]
         for name in gone:
             fs.delete(Path(f"{self.path}/{name}"), True)
+        for s in fs.listStatus(Path(f"{self.path}/manifests")):
+            if s.getPath().getName().startswith("."):
+                fs.delete(s.getPath(), False)
         return sorted(gone)

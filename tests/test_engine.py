@@ -9,8 +9,8 @@ from palimpsest.operators import maintain as M
 from palimpsest.operators import mutate as U
 from palimpsest.operators import namespace as N
 from palimpsest.operators import snapshot as S
-from palimpsest.operators.chain import closure
 from palimpsest.sources import adapters as A
+from palimpsest.sources.session import Session
 from palimpsest.sources.store import Store
 from palimpsest.streaming import tail
 
@@ -31,9 +31,9 @@ def test_nested_snapshots_and_sweep(spark):
     check = lambda ids, active=1: {r.subvol_id: r.verdict for r in S.delete_check(snaps, vols, active, spark.createDataFrame([(i,) for i in ids], "subvol_id long")).collect()}
     assert check([1, 2, 3, 9]) == {1: "invalid: root", 2: "busy: dependent", 3: "ok", 9: "not found"}
     assert check([3], active=3) == {3: "busy: active"}
-    snaps, vols, dead = S.delete(snaps, vols, 3)
+    snaps, vols, dead = S.delete(snaps, vols, 1, 3)
     assert dead == [ROOT - 4] and check([2]) == {2: "ok"}
-    snaps, vols, dead = S.delete(snaps, vols, 2)
+    snaps, vols, dead = S.delete(snaps, vols, 1, 2)
     assert sorted(dead) == [ROOT - 3, ROOT - 2]
     assert sorted(r.snap_id for r in snaps.collect()) == [ROOT - 1, ROOT]
     with pytest.raises(E.NotFound):
@@ -56,7 +56,7 @@ def test_reclaim_in_slices(spark):
     cursor, log, seen = 0, extents, []
     for budget in (2, 2, 1, 1):
         work = spark.createDataFrame([(5, ROOT, cursor)], "ino long, snap_id long, next_offset long")
-        ops = M.reclaim(log, work, snaps, closure(snaps), budget)
+        ops = M.reclaim(log, work, snaps, budget)
         issued = ops.filter("issued").orderBy("place").collect()
         seen.append([r.op for r in issued])
         gone = [r.off for r in issued if r.op == "extent"]
@@ -71,7 +71,7 @@ def test_shared_extents_are_not_freed(spark):
     extents = spark.createDataFrame([(5, 0, ROOT, 0, 1, 65, 8), (5, 4096, 100, 0, 2, 66, 8)], EXTENT)
     snaps = spark.createDataFrame([(ROOT, 0, 0), (100, ROOT, 0)], "snap_id long, parent_id long, flags int")
     work = spark.createDataFrame([(5, 100, 0), (6, 77, 0)], "ino long, snap_id long, next_offset long")
-    got = [(r.op, r.off, r.frees) for r in M.reclaim(extents, work, snaps, closure(snaps), 9).orderBy("place").collect()]
+    got = [(r.op, r.off, r.frees) for r in M.reclaim(extents, work, snaps, 9).orderBy("place").collect()]
     assert got == [("extent", 0, False), ("extent", 4096, True), ("drop", None, False), ("orphan", None, False)]
 
 
@@ -240,3 +240,88 @@ def test_windowed_counts_of_a_stream(spark, tmp_path):
 
 def test_adapters_have_the_tree(spark):
     assert {r.snap_id for r in A.snapshots(spark).collect()} == set(range(4294967289, ROOT + 1))
+
+
+# -- refusals, handlers, transactions, recovery
+
+
+def test_delete_is_refused(spark):
+    snaps = spark.createDataFrame([(ROOT, 0, 0), (9, ROOT, 1), (8, 9, 1)], "snap_id long, parent_id long, flags int")
+    vols = spark.createDataFrame([(1, ROOT, 0, 0), (2, 9, 1, 1), (3, 8, 1, 1), (4, 8, 0, 1)], "subvol_id long, snap_id long, flags int, parent_subvol long")
+    for subvol, error in ((1, E.Invalid), (2, E.Busy), (4, E.Invalid), (9, E.NotFound)):
+        with pytest.raises(error):
+            S.delete(snaps, vols, 3, subvol)
+    with pytest.raises(E.Busy):
+        S.delete(snaps, vols, 3, 3)
+    assert S.switch_subvol(vols, 2) == 9
+    with pytest.raises(E.NotFound):
+        S.switch_subvol(vols, 7)
+
+
+def test_read_own_writes_and_abort(spark):
+    rows = [(1, 0, ROOT, 0, 1, 65, 8), (2, 0, ROOT, 0, 2, 66, 8)]
+    session = Session.memory(spark.createDataFrame(rows, EXTENT), ["ino", "off"])
+    new = spark.createDataFrame([(3, 0, 70, 8)], "ino long, off long, data_block long, len long")
+    line = [100, ROOT]
+    with session.transaction() as tx:
+        tx.put(new, 100)
+        assert tx.find_at(F.col("ino") == 3, 100).count() == 1 and session.entries().count() == 2
+        tx.delete(new.union(spark.createDataFrame([(1, 0, 0, 0)], new.schema)), line)
+        assert tx.find_visible(F.lit(True), line).select("ino").collect() == [(2,)]
+    kinds = {(r.ino, r.snap_id): r.kind for r in session.drain()[0].collect()}
+    assert kinds == {(3, 100): K.DELETED, (1, 100): K.WHITEOUT} and session.drain() == []
+    before = session.next_seq
+    with pytest.raises(ValueError), session.transaction() as tx:
+        tx.put(new, 100)
+        raise ValueError
+    assert session.next_seq == before and session.entries().count() == 4
+    with session.transaction() as tx:
+        tx.put(new, 100)
+        tx.put(new, 7)
+        tx.truncate(1)
+    assert [r.snap_id for r in session.log[0].collect()] == [100]
+
+
+def test_log_goes_into_a_store(spark, tmp_path):
+    entries = spark.createDataFrame([(1, 0, ROOT, 0, 1, 65, 8)], EXTENT)
+    store = Store.create(spark, f"file://{tmp_path}/s", entries, ["ino", "off"])
+    ops = spark.createDataFrame([(i, 0, ROOT, 0, 100 + i, 8) for i in range(3)], "ino long, off long, snap_id long, kind int, data_block long, len long")
+    frames, after, due = J.commit(ops, 0, 0, ["ino"])
+    assert after == 4 and not due and J.commit(ops, 960, 0, ["ino"])[2]
+    torn = frames.union(frames.filter("not is_commit").withColumn("seq", F.col("seq") + 4))
+    assert store.recover(torn) == 3 and Store.open(spark, store.path).recover(torn) == 0
+    store = Store.open(spark, store.path)
+    assert store.state["journal_seq"] == 4 and store.entries().count() == 4
+    other = Store.open(spark, store.path)
+    store.commit(entries)
+    with pytest.raises(E.AlreadyExists):
+        other.commit(entries)
+    with Session.over(store).transaction() as tx:
+        tx.put(spark.createDataFrame([(9, 0, 1, 1)], "ino long, off long, data_block long, len long"), ROOT)
+    assert Store.open(spark, store.path).entries().filter("ino = 9").count() == 1
+    store.vacuum()
+    assert Store.open(spark, store.path).entries().count() == 6
+
+
+def test_frames_hold(spark):
+    row = spark.sql("SELECT X'0102' AS k, X'' AS v, X'05AA' AS short")
+    data = K.encoded_record(F.col("k"), F.col("v"))
+    got = row.select(data.alias("d"), K.decoded_record(data).alias("r"), K.decoded_record(F.col("short")).alias("s"), K.decoded_record(F.col("v")).alias("e")).first()
+    assert bytes(got.d) == b"\x02\x01\x02" and bytes(got.r.key) == b"\x01\x02" and bytes(got.r.value) == b"" and got.s is None and got.e is None
+    op, zero = F.lit(K.FRAME_OP), F.lit(0)
+    crc = F.crc32(K.frame_bytes(F.lit(7), op, zero, data))
+    check = lambda seq, kind, sum_: row.select(K.frame_valid(sum_, F.lit(7), F.lit(seq), kind, zero, data).alias("x")).first().x
+    assert check(7, op, crc) and not check(8, op, crc) and not check(7, F.lit(9), crc) and not check(7, op, crc + 1)
+
+
+def test_handlers_edge_cases(spark):
+    names = spark.createDataFrame([(1, "a", 5, 1, ROOT)], "parent_ino long, name string, target_ino long, file_kind int, snap_id long")
+    ask = lambda *rows: spark.createDataFrame(rows, "req long, parent_ino long, name string, file_kind int, mode int, uid int, gid int, target string")
+    got = {r.req: (r.verdict, r.ino, r.size) for r in N.make(names, ask((2, 1, "l", 3, 0, 0, 0, "é"), (1, 1, "l", 1, 0o7644, 0, 0, None), (3, 1, "x", 3, 0, 0, 0, "t" * 4097), (4, 1, None, 1, 0, 0, 0, None), (5, 2, "l", 3, 0, 0, 0, "é")), 50, 1).collect()}
+    assert got == {1: ("ok", 50, 0), 2: ("already exists", None, None), 3: ("invalid: target too long", None, None), 4: ("invalid: empty", None, None), 5: ("ok", 51, 2)}
+    assert N.make(names, ask().limit(0), 50, 1).count() == 0
+    nodes = spark.createDataFrame([(5, 0o120777, 1, 9, 1)], "ino long, mode int, nlink long, size long, parent_ino long")
+    links = spark.createDataFrame([(1, 5, 1, "b"), (2, 5, 2, "b"), (3, 5, 1, "a")], "req long, ino long, parent_ino long, name string")
+    assert {(r.req, r.verdict, r.nlink, r.file_kind) for r in N.link(names, nodes, links, 1).collect()} == {(1, "ok", 3, 3), (2, "ok", 3, 3), (3, "already exists", None, None)}
+    assert [tuple(r) for r in N.readlink(nodes, nodes).collect()] == [(5, "ok", 0, 9)]
+

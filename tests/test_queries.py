@@ -48,9 +48,9 @@ def test_entry(spark):
 def test_whole_tables_are_targets(spark):
     extents, names = Q.A.extents(spark, FOLDER), Q._names(spark, FOLDER)
     seen = Q.V.visible(extents, Q.KEY, Q._chain(spark))
-    assert Q.QUERIES["delete_resolve_all"](spark, FOLDER).count() == extents.select(*Q.KEY).distinct().count()
-    assert Q.QUERIES["lookup_attr_all"](spark, FOLDER).count() == names.count()
-    assert Q.QUERIES["unlink_all"](spark, FOLDER).filter("table = 'dirent'").count() == names.filter("file_kind = 1").count()
-    assert Q.QUERIES["truncate_all"](spark, FOLDER).count() == seen.filter("off + len > 10000").count()
-    root = Q.QUERIES["journal_replay_all"](spark, FOLDER).filter(f"snap_id = {Q.ROOT}")
+    assert Q.QUERIES["delete_resolve"](spark, FOLDER).count() == extents.select(*Q.KEY).distinct().count()
+    assert Q.QUERIES["lookup_attr"](spark, FOLDER).count() == names.count()
+    assert Q.QUERIES["unlink"](spark, FOLDER).filter("table = 'dirent'").count() == names.filter("file_kind = 1").count()
+    assert Q.QUERIES["truncate"](spark, FOLDER).count() == seen.filter("off + len > 10000").count()
+    root = Q.QUERIES["journal_replay"](spark, FOLDER).filter(f"snap_id = {Q.ROOT}")
     assert extents.filter(f"snap_id = {Q.ROOT}").join(root, Q.KEY, "left_anti").count() == 0

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions import keys as K
 from palimpsest.operators import chain as C
+from palimpsest.operators import snapshot as S
 from palimpsest.operators import maintain as M
 from palimpsest.operators import mutate as U
 from palimpsest.operators import visible as V
@@ -120,10 +121,41 @@ def test_random_operations_against_a_model(spark):
             seq += 1
 
 
-def test_ancestors(spark, monkeypatch):
+def test_ancestors(spark):
     snaps = spark.createDataFrame([(ROOT, 0, 0), (100, ROOT, 0), (80, 100, 0), (60, ROOT, 0)], "snap_id long, parent_id long, flags int")
     assert C.chain(snaps, 80) == [80, 100, ROOT] and C.chain(snaps, 7) == [7]
-    monkeypatch.setattr(C, "WALKED", 1)
-    assert C.chain(snaps, 80) == [80, 100, ROOT] and C.chain(snaps, 7) == [7]
     pairs = spark.createDataFrame([(ROOT, 80), (80, 80), (60, 80), (80, ROOT)], "ancestor long, of long")
     assert {(r.ancestor, r.of): r.is_ancestor for r in C.is_ancestor(snaps, pairs).collect()} == {(ROOT, 80): True, (80, 80): True, (60, 80): False, (80, ROOT): False}
+
+
+def test_scans_need_no_sort(spark, tmp_path):
+    rows = [(1, 0, ROOT, 0, 1, 65)]
+    spark.createDataFrame(rows, "ino long, off long, snap_id long, kind int, seq long, data_block long").write.parquet(str(tmp_path / "e"))
+    df = spark.read.parquet(str(tmp_path / "e"))
+    for out in (V.visible(df, ["ino", "off"], [100, ROOT]), V.newest(df, ["ino", "off"]), V.view_diff(df, ["ino", "off"], [100, ROOT], [ROOT], ["data_block"])):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and plan.count("FileScan") == 1
+
+
+def test_views_differ(spark):
+    rows = [(1, ROOT, 0, 1, 10), (1, 100, 0, 2, 11), (2, ROOT, 0, 3, None), (2, 100, 2, 4, None), (3, ROOT, 0, 5, 12), (4, 100, 0, 6, None), (5, 100, 1, 7, 1), (6, ROOT, 0, 8, 5), (6, 100, 0, 9, 5)]
+    df = spark.createDataFrame(rows, "k long, snap_id long, kind int, seq long, v long")
+    got = {tuple(r) for r in V.view_diff(df, ["k"], [100, ROOT], [ROOT], ["v"]).collect()}
+    assert got == {(1, 11, 10), (2, None, None), (4, None, None)}
+
+
+def test_a_deep_tree(spark):
+    """Every operator on a chain of 5,000 snapshots with a side branch near its end."""
+    n = 5000
+    snaps = spark.range(n).select((F.lit(ROOT) - F.col("id")).alias("snap_id"), F.when(F.col("id") == 0, 0).otherwise(F.lit(ROOT) - F.col("id") + 1).cast("long").alias("parent_id"), F.lit(1).alias("flags"))
+    side, low = ROOT - n, ROOT - n + 1
+    snaps = snaps.union(spark.createDataFrame([(side, ROOT - 3, 1)], "snap_id long, parent_id long, flags int"))
+    vols = spark.createDataFrame([(1, ROOT, 0, 0), (2, low, 1, 1), (3, ROOT - 40, 1, 1)], "subvol_id long, snap_id long, flags int, parent_subvol long")
+    assert C.chain(snaps, low) == list(range(low, ROOT + 1)) and C.chain(snaps, side) == [side, *range(ROOT - 3, ROOT + 1)]
+    own = C.closure(snaps, vols.filter("subvol_id = 2"))
+    assert own.agg(F.count("*"), F.max("depth")).first() == (n, n - 1)
+    pairs = spark.createDataFrame([(ROOT, low), (ROOT - 2500, low), (low, ROOT), (ROOT - 4, side), (ROOT - 3, side)], "ancestor long, of long")
+    assert {(r.ancestor, r.of): r.is_ancestor for r in C.is_ancestor(snaps, pairs).collect()} == {(ROOT, low): True, (ROOT - 2500, low): True, (low, ROOT): False, (ROOT - 4, side): False, (ROOT - 3, side): True}
+    assert {(r.subvol_id, r.has_child, r.has_dependent) for r in S.busy(snaps, vols).collect()} == {(1, True, True), (2, False, False), (3, True, True)}
+    assert [r.snap_id for r in S.unreferenced(snaps, vols).collect()] == [side]
+    assert {r.verdict for r in S.delete_check(snaps, vols, 1, vols.filter("subvol_id > 1")).collect()} == {"ok", "busy: child"}
