@@ -25,13 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+def staged(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts the lineage, so that a lost
     executor costs no more than its running tasks, and no later job repeats the work. The folders
-    are deleted when the driver ends."""
+    are deleted when the driver ends. options: of the writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     _staged.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
