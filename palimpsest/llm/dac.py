@@ -164,8 +164,9 @@ def segments(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> DataF
 
 
 def write(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all documents' ids as a table of segments in the shared folder; the table as read back."""
-    return stage(segments(docs, tokenizer or tokens.default_path(), id_col=id_col, text_col=text_col), "tokens")
+    """Write all documents' ids as a table of segments in the shared folder; the table as read back. The table is not
+    compressed: a segment's bytes stand in the file as they are."""
+    return stage(segments(docs, tokenizer or tokens.default_path(), id_col=id_col, text_col=text_col), "tokens", compression="none")
 
 
 def read(files: DataFrame, *, id_col: str = "doc_id") -> DataFrame:

@@ -6,7 +6,8 @@ and the length of the longest match that ends at each word are tracked, and wher
 a whole window (`window` consecutive item words, or a whole shorter item), its words are hit.
 
 Cases: null, empty and word-less texts have no words and are clean; items without words are ignored;
-repeated items and rows are each reported; an empty benchmark hits nothing; no text is cut; only the
+repeated items and rows are each reported; items without an id are one item, which counts and is not listed; an
+empty benchmark hits nothing; no text is cut; only the
 named columns of the inputs are read, so further columns cannot clash.
 """
 
@@ -27,6 +28,8 @@ from palimpsest.llm.common import ship, table
 WINDOW = 10
 #: Words of one automaton; a larger benchmark is dealt into blocks of whole items, one automaton each.
 BLOCK_WORDS = 2_000_000
+#: Bytes of texts that a benchmark may have, as every task holds it.
+BENCHMARK_BYTES = 64_000_000
 
 #: On the text before its letters are lowered.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -56,7 +59,7 @@ class SuffixAutomaton:
             for c in seq:
                 last = self._extend(last, c)
         n = len(self.link)
-        self.of: list[tuple[int, ...]] = [()] * n  # items that hold the strings of a state
+        self.of: list[list[int]] = [[] for _ in range(n)]  # items that hold the strings of a state
         self.short: list[tuple[tuple[int, int], ...]] = [()] * n  # (length, item) of whole short items
         for i, seq in enumerate(coded):
             self._mark(i, seq)
@@ -99,7 +102,7 @@ class SuffixAutomaton:
             state = self.next[state][c]
             s = state
             while s > 0 and (not self.of[s] or self.of[s][-1] != item):
-                self.of[s] += (item,)
+                self.of[s].append(item)
                 s = self.link[s]
         if 0 < len(seq) < self.window:
             self.short[state] += ((len(seq), item),)
@@ -177,11 +180,12 @@ def _spans(hit: bytearray) -> list[tuple[int, int]]:
     return [tuple(x) for x in np.flatnonzero(mask[1:] != mask[:-1]).reshape(-1, 2).tolist()]
 
 
-def scan_text(text: bytes | None, autos: list[SuffixAutomaton]) -> tuple[int, bytearray, list[str]]:
+def scan_text(text: bytes | None, autos: list[SuffixAutomaton]) -> tuple[int, bytearray, int, list[str]]:
+    """Its words, which of them are hit, how many items' windows occur, and the ids of those that have one."""
     ws = words(text)
     hit = bytearray(len(ws))
     items = {a.items[i] for a in autos for i in a.scan(ws, hit)}
-    return len(ws), hit, sorted(items)
+    return len(ws), hit, len(items), sorted(i for i in items if i is not None)
 
 
 def remove_spans(text: str, hit: bytearray) -> str:
@@ -195,8 +199,10 @@ def remove_spans(text: str, hit: bytearray) -> str:
 
 
 def benchmark_rows(benchmark: DataFrame, id_col: str, text_col: str) -> list[tuple[str, bytes | None]]:
-    """The stated test set, which each task holds as automata; its size is that of the benchmark and
-    does not follow the corpus."""
+    """The stated test set, which each task holds as automata: its size does not follow the corpus, and is checked."""
+    size = benchmark.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    if size > BENCHMARK_BYTES:
+        raise ValueError(f"a benchmark of {size} bytes; tasks hold {BENCHMARK_BYTES} at most: give it in parts, each cleaned after the other")
     got = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("binary").alias("t"))
     return sorted(((r.i, bytes(r.t) if r.t is not None else None) for r in got.collect()), key=lambda x: x[0] or "")
 
@@ -226,7 +232,7 @@ def decontaminate(
         for batch in batches:
             rows = []
             for text in batch.column(len(kept)).cast(pa.binary()).to_pylist():
-                n, hit, items = scan_text(text, autos)
+                n, hit, n_items, items = scan_text(text, autos)
                 n_hit = sum(hit)
                 clean = None if text is None else text.decode()
                 if n_hit:
@@ -235,7 +241,7 @@ def decontaminate(
                             hit[a:b] = bytes(b - a)
                     clean = remove_spans(clean, hit)
                 digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-                rows.append((n, n_hit, len(items), digest, n_hit > 0, clean if n_hit else None, n_hit > max_coverage * n))
+                rows.append((n, n_hit, n_items, digest, n_hit > 0, clean if n_hit else None, n_hit > max_coverage * n))
             names = ["n_words", "n_hit", "n_items", "items_sha256", "contaminated", "clean_text", "drop"]
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
             cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]

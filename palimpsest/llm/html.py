@@ -95,6 +95,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
     """(kind, text, in_article): kind 'tag ...' for tags, 'word ...' for stretches of text, 'break' between blocks."""
     stack: list[tuple[str, bool]] = []  # open elements, and whether each is a box
     boxes = links = articles = 0
+    held: Counter[str] = Counter()  # how many of each name are open, so that stray end tags take no search
     block, at, n = "other", 0, len(page)
     ends: dict[int, int] | None = None
 
@@ -106,6 +107,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
         nonlocal boxes, links, articles
         while len(stack) > depth:
             name, box = stack.pop()
+            held[name] -= 1
             boxes, links, articles = boxes - box, links - (name == "a"), articles - (name in ("article", "main"))
 
     while at < n:
@@ -145,7 +147,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
                 at = ends[lt]
                 continue
         if closing:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if held[name] else None
             box = bool(boxes)
             if depth is not None:
                 close(depth)
@@ -157,6 +159,7 @@ def events(page: str) -> Iterator[tuple[str, str, bool]]:
             own = _boxed(name, attrs, bool(articles))
             if name not in _VOID and not attrs.endswith("/"):
                 stack.append((name, own))
+                held[name] += 1
                 boxes, links, articles = boxes + own, links + (name == "a"), articles + (name in ("article", "main"))
             box = bool(boxes)
         if name in _BLOCK:

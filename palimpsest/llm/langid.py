@@ -10,7 +10,8 @@ As the statistics are frozen, the longest known context is a state of a finite a
 step; a piece starts a few bytes early, so its state is the one that the whole text would have there.
 
 Cases: null texts and texts without a letter are `und` with score 0; very long texts are scored whole;
-ties go to the first language in order; repeated rows are scored each; an empty table, or one without
+ties go to the first language in order; repeated rows are scored each; rows without an id are neither learnt from nor
+held out; an empty table, or one without
 labelled rows to learn from, predicts `und` throughout; only the named columns are read.
 """
 
@@ -207,4 +208,4 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return predict(docs, fit(docs)).select("doc_id", (~in_training("doc_id")).alias("held_out"), "lang_pred", "score", "bits_per_byte")
+    return predict(docs, fit(docs)).select("doc_id", F.coalesce(~in_training("doc_id"), F.lit(False)).alias("held_out"), "lang_pred", "score", "bits_per_byte")

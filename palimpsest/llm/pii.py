@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import stage, table
+from palimpsest.llm.common import free, stage, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # A match can begin only where its run of characters begins or where the last match ended: starts inside a
@@ -204,9 +204,10 @@ def sanitise(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """docs with the personal data in text_col rewritten, all columns kept."""
     found = find(docs, id_col=id_col, text_col=text_col, witnesses=witnesses, disclosure=disclosure)
     # Equal texts have equal spans: one row for each text that has any.
-    by = found.filter(F.size("spans") > 0).groupBy("hash").agg(F.first("spans").alias("__spans")).withColumnRenamed("hash", "__hash")
-    joined = docs.withColumn("__hash", F.xxhash64(text_col)).join(by, "__hash", "left")
-    text = rewritten(F.col(text_col), F.coalesce("__spans", F.array().cast(_SPAN)), generalise)
+    own, spans = free("hash", docs.columns), free("spans", docs.columns)
+    by = found.filter(F.size("spans") > 0).groupBy(F.col("hash").alias(own)).agg(F.first("spans").alias(spans))
+    joined = docs.withColumn(own, F.xxhash64(text_col)).join(by, own, "left")
+    text = rewritten(F.col(text_col), F.coalesce(spans, F.array().cast(_SPAN)), generalise)
     return joined.withColumn(text_col, text).select(*docs.columns)
 
 

@@ -24,4 +24,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op3_url_filter": urlfilter.OP3_SQL,
     "op7_decontaminate": decontaminate.OP7_SQL,
+    "op9_jaccard": jaccard.OP9_SQL,
 }

@@ -358,4 +358,6 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).drop("kept")
+    """With the text that is left, in which a character that a removal cuts through is U+FFFD."""
+    found = dedup(table(spark, sf_dir, "documents"))
+    return found.withColumn("text", F.make_valid_utf8(F.col("kept").cast("string"))).drop("kept")

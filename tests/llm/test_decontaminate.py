@@ -1,3 +1,4 @@
+import pytest
 import hashlib
 import random
 import re
@@ -29,7 +30,7 @@ def test_automaton_against_brute_force():
         text = lambda n: "".join(rnd.choice(letters) + rnd.choice([" ", "-", "\n"]) for _ in range(rnd.randint(0, n)))  # noqa: B023, E731
         items = [(str(i), text(9)) for i in range(rnd.randint(0, 5))] + [("n", None)]
         window, doc = rnd.randint(1, 5), text(60)
-        n, hit, found = d.scan_text(doc.encode(), d.automata([(a, b and b.encode()) for a, b in items], window))
+        n, hit, _, found = d.scan_text(doc.encode(), d.automata([(a, b and b.encode()) for a, b in items], window))
         want = brute(doc, items, window)
         assert (n, {i for i, h in enumerate(hit) if h}, found) == want
         left = W.findall(d.remove_spans(doc, hit).translate(LOW))
@@ -39,7 +40,7 @@ def test_automaton_against_brute_force():
 def test_blocks_of_items(monkeypatch):
     monkeypatch.setattr(d, "BLOCK_WORDS", 3)
     autos = d.automata([("a", b"x y"), ("b", b"y z w"), ("c", b"x y z")], 2)
-    assert len(autos) > 1 and d.scan_text(b"x y z", autos)[2] == ["a", "b", "c"]
+    assert len(autos) > 1 and d.scan_text(b"x y z", autos)[2:] == (3, ["a", "b", "c"])
 
 
 def test_query_on_odd_rows(spark):
@@ -57,3 +58,15 @@ def test_query_on_odd_rows(spark):
     assert [(by[i].n_words, by[i].contaminated, by[i].items_sha256) for i in (1, 2, 5)] == [(0, False, sha(""))] * 3
     assert d.decontaminate(docs, bench.limit(0)).filter("contaminated").count() == 0
     assert d.decontaminate(docs.limit(0), bench).count() == 0
+
+
+def test_items_without_an_id_and_the_bound(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "say one two three now"), (None, "four five"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(None, "one two three"), (None, "four five"), ("b", "two three"), ("c", None)], "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256) for r in d.decontaminate(docs, items).collect()}
+    digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    assert got == {1: (3, 2, digest("b")), None: (2, 1, digest("")), 2: (0, 0, digest(""))}
+    monkeypatch.setattr(d, "BENCHMARK_BYTES", 5)
+    with pytest.raises(ValueError, match="in parts"):
+        d.decontaminate(docs, items)
+

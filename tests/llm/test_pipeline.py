@@ -42,3 +42,21 @@ def test_run(spark, tmp_path):
     assert set(seen[3]) == set(seen[2]) and seen[3][304].text.endswith(" [EMAIL]") and seen[3][1].text == rows[1][1]
     out = p.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == set(seen[3]) and all(r.padding >= 0 for r in out)
+
+
+def test_clashing_columns_and_empty_tables(spark, tmp_path):
+    en = "the of and to in is that for with his from they were which " * 6
+    rows = [(1, en + "a@b.org", "en", 1.0, 2, "x", "y"), (2, en + "one two three four", "en", None, None, None, None), (None, None, None, 1.0, 1, "z", "z"), (1, en + "a@b.org", "en", 1.0, 2, "x", "y")]
+    docs = spark.createDataFrame([(d, t, k, len(t or ""), *more) for d, t, k, *more in rows], "doc_id long, text string, lang string, n_chars long, score double, n_hit long, __hash string, __own string")
+    spark.createDataFrame([("i", "one two three four")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for table, want in ((docs, [1, 1, 2]), (docs.limit(0), [])):
+        step = table
+        for n, (name, f) in enumerate(p.STAGES[:-1]):
+            step = p.stage(f(spark, step, str(tmp_path)), "test")
+            assert step.dtypes == table.dtypes, name
+            if n == 0:
+                assert sorted(r.doc_id for r in step.collect()) == want
+        assert step.filter("text like '%@%' or text like '%three%'").count() == 0
+        out = p.packed(spark, step, str(tmp_path)).collect()
+        assert len(out) == step.count() == len(set(want))
+
