@@ -1,6 +1,7 @@
 """Personal data: patterns, and information-theoretic sanitisation of what else reveals it.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers; these are the protected entities. A
+Patterns find e-mail addresses, IP addresses, card and phone numbers; these, and the domains of addresses, are the
+protected entities. A
 term in a document with an entity reveals it as far as the corpus shows that the two go together: the disclosure of
 entity e by term t is PMI(t; e) / IC(e), with IC(e) = -log2 p(e) and PMI(t; e) = log2(p(t, e) / (p(t) p(e))), where
 p(t), p(e) and p(t, e) are shares of all documents. It is 1 where t is found with e alone, and 0 where t says
@@ -125,8 +126,11 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def _names(base: Column) -> Column:
-    """The entities among the spans, each once."""
-    return F.array_distinct(F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"]))))
+    """The entities among the spans, each once: every value, and for addresses the domain, which more texts share."""
+    values = F.transform(base, lambda s: F.concat_ws(":", s["kind"], F.lower(s["value"])))
+    mails = F.filter(base, lambda s: s["kind"] == "email")
+    domains = F.transform(mails, lambda s: F.concat(F.lit("domain:"), F.lower(F.substring_index(s["value"], "@", -1))))
+    return F.array_distinct(F.concat(values, domains))
 
 
 def _terms(text: Column, base: Column) -> Column:

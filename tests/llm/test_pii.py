@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -106,3 +107,38 @@ def test_terms_far_from_the_entity(spark):
     assert [s for s in got[70].spans] == []
     clean = {r.doc_id: r.text for r in pii.sanitise(docs).collect()}
     assert clean[60].startswith("[TERM] and so") and "quexley" not in clean[62] and clean[70] == "quexley alone"
+
+
+def revealed(rows, witnesses, disclosure):
+    """(id, start) of term spans by counting plainly; rows: (id, text)."""
+    words = lambda t: [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"[^\W\d_]{3,}", t or "")]
+    base = lambda t: [(m.start(), m.end(), k, m[0].lower()) for k, p in PLAIN.items() for m in p.finditer(t or "") if holds(k, m[0])]
+    names = lambda t: {f"{k}:{v}" for *_, k, v in base(t)} | {"domain:" + v.split("@")[1] for *_, k, v in base(t) if k == "email"}
+    free = lambda t: [(a, w) for a, b, w in words(t) if all(y <= a or b <= x for x, y, *_ in base(t))]
+    n, told = max(len(rows), 2), {}
+    for e in set().union(*(names(t) for _, t in rows)):
+        own = [t for _, t in rows if e in names(t)]
+        for w in {w for t in own for _, w in free(t)}:
+            both = [t for t in own if w in {x for _, x in free(t)}]
+            n_t = sum(w in {x for *_, x in words(t)} for _, t in rows)
+            ic = math.log2(n / len(own))
+            if len(set(own)) >= witnesses and len(set(both)) >= witnesses and ic > 0 and math.log2(len(both) * n / (n_t * len(own))) >= disclosure * ic - 1e-12:
+                told.setdefault(e, set()).add(w)
+    return sorted((i, a) for i, t in rows for a, w in free(t) if any(w in told.get(e, ()) for e in names(t)))
+
+
+def test_terms_against_plain_counts(spark):
+    rnd = random.Random(9)
+    names, words = ["al@a.org", "bo@a.org", "cy@b.org", "1.2.3.4", "+1 (843) 555-4223"], ["arc", "bow", "cob", "dab", "été", "fig"]
+    rows = []
+    for i in range(90):
+        who = rnd.choice([*names, "", ""])
+        own = [rnd.choice(words) for _ in range(3)] + ([f"sign{names.index(who)}"] if who and rnd.random() < 0.8 else []) + (["orga"] if "a.org" in who else [])
+        rows.append((i, " ".join([*own, who, rnd.choice(words).upper()])))
+    rows += [(90, rows[0][1]), (91, None), (92, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).cache()
+    for witnesses, disclosure in ((3, 0.8), (2, 0.5), (1, 0.95)):
+        got = pii.find(docs, witnesses=witnesses, disclosure=disclosure).collect()
+        want = revealed(rows, witnesses, disclosure)
+        assert sorted((r.doc_id, s.start) for r in got for s in r.spans if s.kind == "term") == want and want
+
