@@ -53,8 +53,8 @@ FREQUENT_KEPT = 1 << 19
 LOT = 2_000_000
 #: Keys of a bucket, about.
 BUCKET_KEYS = 1 << 19
-#: Rounds of stars, each of so many hashes.
-ROUNDS = ((0, 1), (2, 3))
+#: Rounds of stars, each of so many hashes. Sets that more rounds would link are found in the tiles that stay open.
+ROUNDS = ((0, 1),)
 #: Sets at home in a block of a large band.
 BLOCK = 4096
 #: Pairs that a visitor sends from a block at first, and by what that grows when its tile is taken up again.

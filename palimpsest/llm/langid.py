@@ -52,7 +52,8 @@ class Model:
         self.next = np.zeros((n, 256), dtype=np.int32)
         # A state's code lengths in a language are those of its longest suffix in the tree: each row is held once.
         self.row = np.zeros((n, max(1, len(trees))), dtype=np.int32)
-        rows: list[np.ndarray] = []
+        self.cost = np.zeros((max(1, sum(map(len, trees))), 256), dtype=np.float32)
+        n_rows = 0
         for c, i in state.items():
             if c:
                 self.next[i] = self.next[state[c[1:]]]
@@ -67,11 +68,12 @@ class Model:
                 while own not in tree:
                     own = own[1:]
                 if own not in memo:
-                    memo[own] = len(rows) * 256
-                    rows.append(_code_lengths(own, tree).astype(np.float32))
+                    memo[own] = n_rows * 256
+                    self.cost[n_rows] = _code_lengths(own, tree)
+                    n_rows += 1
                 self.row[i, k] = memo[own]
         self.next = self.next.reshape(-1)
-        self.cost = np.concatenate(rows) if rows else np.zeros(256, dtype=np.float32)
+        self.cost = self.cost.reshape(-1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
@@ -101,11 +103,13 @@ class Model:
         return out
 
 
-def _tree(texts: list[bytes], order: int, contexts: int) -> dict[bytes, np.ndarray]:
-    """Context to its bytes' counts. Order by order the most frequent, of those whose suffix is kept."""
-    tree = {b"": np.zeros(256, dtype=np.int64)}
+def _tree(texts: list[bytes], order: int, contexts: int) -> dict[bytes, tuple[np.ndarray, np.ndarray]]:
+    """Context to the bytes that follow it, and their counts. Order by order the most frequent contexts, of those
+    whose suffix is kept."""
+    all_ = np.zeros(256, dtype=np.int64)
     for t in texts:
-        tree[b""] += np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256)
+        all_ += np.bincount(np.frombuffer(t, dtype=np.uint8), minlength=256)
+    tree = {b"": (np.flatnonzero(all_).astype(np.uint8), all_[all_ > 0].astype(np.int32))}
     for k in range(1, order + 1):
         codes = [np.zeros(0, dtype=np.uint64)]
         for t in texts:
@@ -122,17 +126,19 @@ def _tree(texts: list[bytes], order: int, contexts: int) -> dict[bytes, np.ndarr
                 break
             name = int(heads[i]).to_bytes(k, "big")
             if name[1:] in tree:
-                row = np.zeros(256, dtype=np.int64)
-                row[(grams[ends[i] : ends[i + 1]] & np.uint64(0xFF)).astype(np.int64)] = counts[ends[i] : ends[i + 1]]
-                tree[name] = row
+                own = slice(ends[i], ends[i + 1])
+                tree[name] = ((grams[own] & np.uint64(0xFF)).astype(np.uint8), counts[own].astype(np.int32))
                 room -= 1
     return tree
 
 
-def _code_lengths(context: bytes, tree: dict[bytes, np.ndarray]) -> np.ndarray:
+def _code_lengths(context: bytes, tree: dict[bytes, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     bits, escaped, out = np.zeros(256), np.ones(256, dtype=bool), 0.0
     while True:
-        counts = np.where(escaped, tree[context], 0)
+        counts = np.zeros(256, dtype=np.int64)
+        follow, times = tree[context]
+        counts[follow] = times
+        counts[~escaped] = 0
         seen = counts > 0
         kinds, total = int(seen.sum()), int(counts.sum())
         if kinds:

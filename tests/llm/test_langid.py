@@ -19,7 +19,7 @@ def slow_bits(text, tree, order):
             context = context[1:]
         out = set()
         while True:
-            counts = {c: int(n) for c, n in enumerate(tree[context]) if n and c not in out}
+            counts = {int(c): int(n) for c, n in zip(*tree[context], strict=True) if int(c) not in out}
             base = sum(counts.values()) + (len(counts) if len(counts) < 256 - len(out) else 0)
             if b in counts:
                 total += math.log2(base / counts[b])
