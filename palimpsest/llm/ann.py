@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, stage, table
+from palimpsest.llm.common import lean, ship, stage, table
 
 TREES = 32
 DEPTH = 64
@@ -113,7 +113,7 @@ def _packed(rows: DataFrame, parts: int) -> DataFrame:
 
     part = F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")
     dealt = rows.select("id", "v", F.size("v").alias("dim"), part.alias("part")).repartition(parts, "dim", "part").sortWithinPartitions("dim", "part", "id")
-    return dealt.mapInArrow(run, "dim int, part int, ids binary, vectors binary")
+    return dealt.mapInArrow(lean(run), "dim int, part int, ids binary, vectors binary")
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 5, trees: int = TREES, share: float = SHARE, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -146,7 +146,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", ve
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
     # One row a shard and block: the smaller side of this join is not broadcast, as both grow with the data.
-    met = index.hint("merge").join(lots, ["dim", "part"]).select("dim", "ids", "vectors", "q_ids", "q").mapInArrow(run, "query_id long, vec_id long, score double")
+    met = index.hint("merge").join(lots, ["dim", "part"]).select("dim", "ids", "vectors", "q_ids", "q").mapInArrow(lean(run), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return met.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from palimpsest.sources.staging import staged
@@ -37,6 +41,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def lean(run: Callable[[Iterable], Iterator]) -> Callable[[Iterable], Iterator]:
+    """run, giving memory that it no longer uses back to the system when its task ends: an executor keeps several
+    Python workers, and what their allocators hold back would add up over stages."""
+
+    def task(batches: Iterable) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+                trim(0)
+
+    return task
+
+
 def free(name: str, taken: list[str]) -> str:
     """A column name like `name` that is not among those taken, in whatever case."""
     used = {c.lower() for c in taken}

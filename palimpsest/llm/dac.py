@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import tokens
-from palimpsest.llm.common import ship, stage, table
+from palimpsest.llm.common import lean, ship, stage, table
 
 MAGIC = b"PALDAC01"
 #: A segment ends with the document that brings it to so many tokens.
@@ -160,7 +160,7 @@ def segments(docs: DataFrame, path: str, *, id_col: str, text_col: str) -> DataF
     # The hash parts even one id that very many rows share; equal rows need no order.
     dealt = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
     dealt = dealt.repartitionByRange(F.col("d").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("d").asc_nulls_first(), F.col("h"))
-    return dealt.select("d", "t").mapInArrow(run, schema)
+    return dealt.select("d", "t").mapInArrow(lean(run), schema)
 
 
 def write(docs: DataFrame, *, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +188,7 @@ def read(files: DataFrame, *, id_col: str = "doc_id") -> DataFrame:
                     names=[id_col, "start", "n_tokens", "ids_crc32"],
                 )
 
-    return placed.mapInArrow(run, f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
+    return placed.mapInArrow(lean(run), f"`{id_col}` long, start long, n_tokens long, ids_crc32 long")
 
 
 def export_segments(files: DataFrame, folder: str) -> list[str]:

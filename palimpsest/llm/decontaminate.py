@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, table
+from palimpsest.llm.common import lean, ship, table
 
 WINDOW = 10
 #: Words of one automaton; a larger benchmark is dealt into blocks of whole items, one automaton each.
@@ -249,7 +249,7 @@ def decontaminate(
 
     head = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
     schema = f"{head}n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, clean_text string, drop boolean"
-    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*kept, F.col(text_col).alias("__text")).mapInArrow(lean(run), schema)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, table
+from palimpsest.llm.common import lean, ship, table
 
 #: The sample that weights are counted on: so many pages of at most so many bytes each.
 SAMPLE_PAGES = 400
@@ -251,7 +251,7 @@ def extract_pages(pages: DataFrame, weight: dict[str, float], *, keep: list[str]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "text", "n_chars"])
 
     schema = "".join(f"`{c}` {pages.schema[c].dataType.simpleString()}, " for c in keep)
-    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(run, f"{schema}text string, n_chars long")
+    return pages.select(*keep, F.col(html_col).alias("__html")).mapInArrow(lean(run), f"{schema}text string, n_chars long")
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

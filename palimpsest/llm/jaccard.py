@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import free, ship, stage, table
+from palimpsest.llm.common import free, lean, ship, stage, table
 from palimpsest.llm.components import components
 
 WORDS = 5
@@ -230,7 +230,7 @@ def _frequent(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
                 sets, size, seen = [], 0, set()
         yield counted(sets)
 
-    found = docs.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2 * FREQUENT)
+    found = docs.mapInArrow(lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= 2 * FREQUENT)
     listed = found.orderBy(F.desc("n"), "h").limit(FREQUENT_KEPT).toArrow()
     h, n = (np.array(listed.column(c).to_numpy(), dtype=np.int64) for c in ("h", "n"))
     order = np.argsort(h.view(np.uint64))
@@ -268,7 +268,7 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, fre
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *[pa.array(c, t) for c, t in zip(cols, types, strict=True)]], names=[id_col, "text_hash", "n", "node", "check", "bits", "sig", "keys"])
 
     source = docs.select(id_col, F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__hash"))
-    return source.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, n long, node long, check binary, bits binary, sig binary, keys binary")
+    return source.mapInArrow(lean(run), f"`{id_col}` {kind}, text_hash long, n long, node long, check binary, bits binary, sig binary, keys binary")
 
 
 def _tiles(sets: DataFrame, keys: int) -> DataFrame:
@@ -329,8 +329,8 @@ def _tiles(sets: DataFrame, keys: int) -> DataFrame:
                 stars.append(np.repeat(nodes[drawn == least], sizes))  # one node has a hash: mixed() is one to one
             yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (tile, nodes, weight, *stars)], names=names)
 
-    dealt = sets.select("node", "keys").mapInArrow(deal, "bucket long, data binary")
-    met = dealt.repartition(buckets, "bucket").mapInArrow(meet, ", ".join(f"{c} long" for c in names))
+    dealt = sets.select("node", "keys").mapInArrow(lean(deal), "bucket long, data binary")
+    met = dealt.repartition(buckets, "bucket").mapInArrow(lean(meet), ", ".join(f"{c} long" for c in names))
     return met.groupBy("tile", "node").agg(F.sum("weight").alias("weight"), *[F.min(c).alias(c) for c in names[3:]])
 
 
@@ -374,7 +374,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, bitmaps: str) -> Dat
                 keep.append(bool(_sizes_fit(a["n"], b["n"], percent) and may_link(a["n"], b["n"], differ, percent)))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return _with_both(pairs, nodes.select("node", F.struct("n", F.col(bitmaps).alias("bits")).alias("set")), "set").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, nodes.select("node", F.struct("n", F.col(bitmaps).alias("bits")).alias("set")), "set").mapInArrow(lean(run), "a long, b long")
 
 
 def _arrays(docs: DataFrame, needed: DataFrame, text_col: str, k: int) -> DataFrame:
@@ -389,7 +389,7 @@ def _arrays(docs: DataFrame, needed: DataFrame, text_col: str, k: int) -> DataFr
     side = _small(needed.select("text_hash"))
     texts = docs.select(F.col(text_col).alias("t")).withColumn("text_hash", F.xxhash64("t")).join(side, "text_hash", "left_semi")
     # Copies of a text are equal rows: one of each partition goes on, and one of all stays.
-    return texts.select("t").mapInArrow(run, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
+    return texts.select("t").mapInArrow(lean(run), "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str, k: int, percent: int) -> DataFrame:
@@ -403,7 +403,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, text_col: str
 
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     arrays = stage(_arrays(docs, nodes.join(wanted, "node", "left_semi"), text_col, k), "arrays")
-    return _with_both(pairs, arrays, "hashes").mapInArrow(run, "a long, b long")
+    return _with_both(pairs, arrays, "hashes").mapInArrow(lean(run), "a long, b long")
 
 
 def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int, best: int, bitmaps: str = "sig") -> DataFrame:
@@ -444,7 +444,7 @@ def _open_pairs(tiles: DataFrame, nodes: DataFrame, labels: DataFrame, percent:
             held = got.take(pa.array(last)).combine_chunks().to_batches()[0] if len(last) else None
 
     dealt = rows.select(*names).repartition("tile", "home", "block").sortWithinPartitions("tile", "home", "block", "visits")
-    return dealt.mapInArrow(compare, "a long, b long, tile long, more boolean")
+    return dealt.mapInArrow(lean(compare), "a long, b long, tile long, more boolean")
 
 
 def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, table
+from palimpsest.llm.common import lean, ship, table
 
 #: The sample: so many documents of each language, of at most so many bytes each. All others are scored.
 SAMPLE_DOCS = 150
@@ -72,7 +72,7 @@ class Model:
                     self.cost[n_rows] = _code_lengths(own, tree)
                     n_rows += 1
                 self.row[i, k] = memo[own]
-        self.next = self.next.reshape(-1)
+        self.next = self.next.reshape(-1).astype(np.uint16 if n <= 1 << 16 else np.int32)
         self.cost = self.cost.reshape(-1)
 
     def score(self, texts: list[bytes]) -> np.ndarray:
@@ -89,16 +89,16 @@ class Model:
                 got = np.frombuffer(texts[i], dtype=np.uint8, count=b - a + lead[r], offset=a - lead[r])
                 grid[r, self.order - lead[r] : self.order + b - a] = got
             grid = np.ascontiguousarray(grid.T)
-            at = np.zeros(len(part), dtype=np.int32)
+            at = np.zeros(len(part), dtype=np.int64)
             bits = np.zeros((len(part), self.row.shape[1]))
             for s in range(self.order):
-                at = np.where(lead >= self.order - s, self.next[at * 256 + grid[s]], 0)
+                at = np.where(lead >= self.order - s, self.next[at * 256 + grid[s]].astype(np.int64), 0)
             live = np.searchsorted(-sizes, -np.arange(int(sizes.max())), side="left")  # pieces that are longer
             for s, n in enumerate(live.tolist()):
                 byte = grid[self.order + s, :n]
                 bits[:n] += self.cost.take(self.row.take(at[:n], axis=0) + byte[:, None])
                 here = at[:n] * 256 + byte
-                at = self.next.take(here)
+                at = self.next.take(here).astype(np.int64)
             np.add.at(out, [i for i, _, _ in part], bits[:, : len(self.langs)])
         return out
 
@@ -209,7 +209,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([*[batch.column(columns.index(c)) for c in kept], *new], names=[*kept, "lang_pred", "score", "bits_per_byte"])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return docs.select(*columns).mapInArrow(run, f"{schema}, lang_pred string, score double, bits_per_byte double")
+    return docs.select(*columns).mapInArrow(lean(run), f"{schema}, lang_pred string, score double, bits_per_byte double")
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:

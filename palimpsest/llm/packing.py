@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import tokens
-from palimpsest.llm.common import ship, stage, table
+from palimpsest.llm.common import lean, ship, stage, table
 
 BUCKETS = 16
 #: Padded tokens of a batch.
@@ -41,7 +41,7 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, id_col: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], names=[id_col, "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
+    return docs.select(id_col, text_col).mapInArrow(lean(run), f"`{id_col}` {kind}, n_tokens long")
 
 
 def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:

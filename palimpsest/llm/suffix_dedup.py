@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, stage, table
+from palimpsest.llm.common import lean, ship, stage, table
 from palimpsest.llm.jaccard import mixed
 
 LENGTH = 400
@@ -192,7 +192,7 @@ def _anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                 if cols:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.concatenate(cols, axis=1)], names=names)
 
-    return docs.select("h1", "h2", "data").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("h1", "h2", "data").mapInArrow(lean(run), ", ".join(f"{n} long" for n in names))
 
 
 def _of_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def _blocks(docs: DataFrame, open_: DataFrame, length: int) -> DataFrame:
 
     listed = open_.groupBy("h1", "h2").agg(F.collect_set(F.struct("at", "first", "last")).alias("wanted"))
     # Copies of a text are one witness: their tuples are equal, and are dropped by distinct() before they meet.
-    return _of_texts(docs, open_).join(listed, ["h1", "h2"]).select("h1", "h2", "data", "wanted").mapInArrow(run, _TUPLE).distinct()
+    return _of_texts(docs, open_).join(listed, ["h1", "h2"]).select("h1", "h2", "data", "wanted").mapInArrow(lean(run), _TUPLE).distinct()
 
 
 _NAMES = [x.split()[0] for x in _TUPLE.split(", ")]
@@ -250,7 +250,7 @@ def _halves(rows: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _ARROW, strict=True)], names=_NAMES)
 
-    return rows.select(*_NAMES).mapInArrow(run, _TUPLE)
+    return rows.select(*_NAMES).mapInArrow(lean(run), _TUPLE)
 
 
 def _repeated(rows: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
         if held:
             yield from solve()
 
-    return rows.select(*_NAMES).repartition("digest").mapInArrow(run, "h1 long, h2 long, first long, last long")
+    return rows.select(*_NAMES).repartition("digest").mapInArrow(lean(run), "h1 long, h2 long, first long, last long")
 
 
 def covered(docs: DataFrame, length: int) -> DataFrame:
@@ -354,7 +354,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     )
     runs = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     cut = data.join(ids, ["h1", "h2"], "left_semi").join(runs, ["h1", "h2"]).select("__id", "data", "runs")
-    return clean.union(cut.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
+    return clean.union(cut.mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
