@@ -8,7 +8,7 @@ the sort is induced and external:
    place, so strings are compared under one anchor only. An anchor stands for its hull, the bytes of all strings
    that have it, and its class, the bytes after it that all of them share.
 2. Classes that hold one anchor are unique text. Hulls that occur twice are repeated as a whole. Both are
-   found by one shuffle of digests. What is left are anchors whose class is repeated and whose hull is not.
+   counts, combined before the shuffle. What is left are anchors whose class is repeated and whose hull is not.
 3. Those are cut into blocks of 32 strings. A block is a tuple: the digest of the bytes that all its strings have,
    the bytes before them and the bytes after them. A task orders the tuples by (digest, bytes after) in
    a priority queue whose runs lie on disk, and takes from neighbours their common-prefix values. From the order
@@ -35,7 +35,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import lean, ship, stage, table
@@ -290,20 +290,22 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 def covered(docs: DataFrame, length: int) -> DataFrame:
     """(h1, h2, first, last): repeated strings start at first..last of these texts. docs: h1, h2, data."""
-    rows = _anchor_rows(docs, length).repartition("class")
-    # One exchange for all: a class and its hulls are neighbours in one order, and windows that are larger than
-    # memory are kept on disk.
-    hull, kind = Window.partitionBy("class", "d1", "d2"), Window.partitionBy("class")
-    rows = rows.withColumn("nth", F.row_number().over(hull.orderBy("h1", "h2", "at"))).withColumn("n_hull", F.count("*").over(hull))
-    rows = rows.withColumns({"n_class": F.count("*").over(kind), "lo": F.min("d1").over(kind), "hi": F.max("d1").over(kind)})
+    rows = stage(_anchor_rows(docs, length), "anchors")
+    # Both counts are combined where the rows lie before they are dealt out, and are written before they are joined: a class
+    # or hull that a third of all anchors share is one row of a count, and a join that can be split by size.
+    classes = rows.groupBy("class").agg(F.count("*").alias("n"), F.min("d1").alias("lo"), F.max("d1").alias("hi"))
+    classes = stage(classes.filter("n > 1").select("class", (F.col("lo") != F.col("hi")).alias("several")), "classes")
+    met = stage(rows.join(classes, "class").withColumn("own", F.xxhash64("h1", "h2", "at")), "repeated")
+    hulls = stage(met.groupBy("class", "d1", "d2").agg(F.count("*").alias("n"), F.min("own").alias("witness")), "hulls")
     # Open anchors, and one of each repeated hull of the same classes, with which they may share strings.
-    opened = (F.col("lo") != F.col("hi")) & (F.col("nth") == 1)
-    met = stage(rows.filter("n_class > 1").select("h1", "h2", "at", "first", "last", (F.col("n_hull") > 1).alias("whole"), opened.alias("open")), "anchors")
+    opened = F.col("several") & (F.col("own") == F.col("witness"))
+    met = met.join(hulls, ["class", "d1", "d2"]).select("h1", "h2", "at", "first", "last", (F.col("n") > 1).alias("whole"), opened.alias("open"))
+    met = stage(met, "met")
     parts = [met.filter("whole").select("h1", "h2", "first", "last").distinct()]
     blocks = stage(_blocks(docs, met.filter("open").select("h1", "h2", "at", "first", "last"), length), "blocks")
     width = BLOCK
     while True:
-        counts = blocks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
+        counts = stage(blocks.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
         joined = blocks.join(counts, "digest")
         if width == 1:
             # One string, no bytes beside the shared ones: all that share a digest are repeats.
@@ -352,7 +354,7 @@ def dedup(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", le
     clean = data.join(ids, ["h1", "h2"], "left_anti").select(
         F.col("__id").alias(id_col), F.octet_length("data").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("data").alias("kept"), F.sha2("data", 256).alias("kept_sha256")
     )
-    runs = found.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    runs = stage(found.groupBy("h1", "h2").agg(F.collect_list(F.struct("first", "last")).alias("runs")), "runs")
     cut = data.join(ids, ["h1", "h2"], "left_semi").join(runs, ["h1", "h2"]).select("__id", "data", "runs")
     return clean.union(cut.mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"))
 
