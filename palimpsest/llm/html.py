@@ -53,7 +53,7 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 DEFAULTS = {"word p": 1.0, "word heading": 0.6, "word other": 0.9, "word link": -0.5, "word box": -0.5, "tag": -0.1, "tag inline": -0.03, "tag box": -0.1}
-#: The most that one block of a box costs: what stands inside an article should not cut it in two.
+#: The most that one block's words cost: a box that stands inside an article should not cut it in two.
 BOX_BLOCK = 1.0
 
 
@@ -197,38 +197,52 @@ def weights(pages: Iterable[str]) -> dict[str, float]:
     return out
 
 
-def extract(page: str | None, weight: dict[str, float]) -> str:
-    blocks: list[tuple[float, float, list[str]]] = []  # cost of the tags before, score of the words, kept text
-    cost, score, kept, any_words = 0.0, 0.0, [], False
-
-    def flush() -> None:
-        nonlocal cost, score, kept, any_words
-        if any_words:
-            blocks.append((cost, score, kept))
-            cost, score, kept, any_words = 0.0, 0.0, [], False
-
-    for kind, text, _ in events(page or ""):
+def scored(page: str, weight: dict[str, float]) -> tuple[list[float], list[int], list[list[str]]]:
+    """The page as a sequence: the score of each tag and of each stretch of words, the block it stands in, and the
+    blocks' texts. The words of a stretch weigh alike, so a best region never ends inside one, and a stretch stands
+    for its words. What counts against a block's words is BOX_BLOCK at most."""
+    scores: list[float] = []
+    where: list[int] = []
+    blocks: list[list[str]] = [[]]
+    left, any_words = BOX_BLOCK, False
+    for kind, text, _ in events(page):
         if kind == "break":
-            flush()
-        elif kind.startswith("tag"):
-            # The tags of a block stand before its words or after them: both part it from the next one.
-            cost += weight[kind]
+            if any_words:
+                blocks.append([])
+                left, any_words = BOX_BLOCK, False
+            continue
+        if kind.startswith("tag"):
+            score = weight[kind]
         else:
             n = len(text.split())
-            score += n * weight[kind]
+            score = max(n * weight[kind], -left)
+            left += min(0.0, score)
             any_words |= n > 0
             if kind != "word box":
-                kept.append(text)
-    flush()
+                blocks[-1].append(text)
+        scores.append(score)
+        where.append(len(blocks) - 1)
+    return scores, where, blocks
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """start, end of the contiguous part of the largest sum, if any is above 0; of equals the one that ends first."""
     best, span, run, start = 0.0, (0, 0), 0.0, 0
-    for i, (before, words, _) in enumerate(blocks):
-        run += before
+    for i, score in enumerate(scores):
         if run <= 0:
             run, start = 0.0, i
-        run += max(words, -BOX_BLOCK)
+        run += score
         if run > best:
             best, span = run, (start, i + 1)
-    texts = (" ".join("".join(parts).split()) for _, _, parts in blocks[span[0] : span[1]])
+    return span
+
+
+def extract(page: str | None, weight: dict[str, float]) -> str:
+    scores, where, blocks = scored(page or "", weight)
+    start, end = best_region(scores)
+    if start == end:
+        return ""
+    texts = (" ".join("".join(parts).split()) for parts in blocks[where[start] : where[end - 1] + 1])
     return "\n\n".join(t for t in texts if t)
 
 

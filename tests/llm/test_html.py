@@ -31,18 +31,36 @@ def test_odd_markup():
     assert h.extract(long, h.DEFAULTS) == ("word " * 100_000).strip()
 
 
-def test_region_is_the_best(monkeypatch):
+def test_region_is_the_best():
     import random
 
     rnd = random.Random(2)
-    for _ in range(200):
-        page = "".join(rnd.choice(["<p>a b</p>", "<p>c</p>", "<div>", "</div>", "<nav>x y</nav>", "<li><a>z</a></li>"]) for _ in range(12))
-        weight = {k: rnd.uniform(0.2, 2) * (1 if v > 0 else -1) for k, v in h.DEFAULTS.items()}
-        flat = [weight[k] * (len(t.split()) if k.startswith("word") else 1) for k, t, _ in h.events(page) if k != "break"]
-        kept = [b for b in h.extract(page, weight).split("\n\n") if b]
-        # The best region of single words and tags holds whole blocks: words of one block have one sign here.
-        if best_sum(flat) > 0:
-            assert kept or all(weight[k] < 0 or not t.strip() for k, t, _ in h.events(page) if k in ("word p", "word other"))
+    some = 0
+    for _ in range(300):
+        page = "".join(rnd.choice(["<p>a b</p>", "<p>c <a>d e</a> f</p>", "<div>", "</div>", "<nav>x y</nav>", "<li><a>z</a></li>", "g ", "<b>h</b>"]) for _ in range(12))
+        weight = {k: rnd.choice([0.25, 0.5, 1, 2]) * (1 if v > 0 else -1) for k, v in h.DEFAULTS.items()}
+        scores, where, blocks = h.scored(page, weight)
+        a, b = h.best_region(scores)
+        assert sum(scores[a:b]) == max(0, best_sum(scores))
+        spans = [(x, y) for x in range(len(scores)) for y in range(x + 1, len(scores) + 1) if sum(scores[x:y]) == sum(scores[a:b]) > 0]
+        assert not spans or b == min(y for _, y in spans)
+        want = [" ".join("".join(blocks[i]).split()) for i in sorted({*range(where[a], where[b - 1] + 1)} if a < b else ())]
+        assert h.extract(page, weight) == "\n\n".join(x for x in want if x)
+        some += a < b
+    assert some > 200
+
+
+def test_scores_are_those_of_single_words():
+    import random
+
+    rnd = random.Random(3)
+    for _ in range(100):
+        page = "".join(rnd.choice(["<p>a b</p>", "<p>c d e</p>", "<h2>t u</h2>", "<div>", "</div>", "<b>h</b>"]) for _ in range(8))
+        weight = {k: rnd.choice([0.25, 0.5, 1, 2]) * (1 if v > 0 else -1) for k, v in h.DEFAULTS.items()}
+        flat = [weight[k] for k, t, _ in h.events(page) if k != "break" for _ in range(len(t.split()) if k.startswith("word") else 1)]
+        scores = h.scored(page, weight)[0]
+        a, b = h.best_region(scores)
+        assert sum(scores[a:b]) == max(0, best_sum(flat))
 
 
 def test_query(spark):
