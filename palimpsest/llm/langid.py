@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import lean, ship, table
@@ -30,6 +30,8 @@ from palimpsest.llm.common import lean, ship, table
 SAMPLE_DOCS = 150
 SAMPLE_BYTES = 16_384
 ORDER = 4
+#: Times the sample that the first look for it lets through.
+SPARE = 8
 #: Contexts of a tree, the most frequent first; shorter ones come before longer ones.
 CONTEXTS = 6_000
 #: Bytes of a piece that is scored in step with others.
@@ -167,14 +169,24 @@ def in_training(id_col: str) -> Column:
 def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Learn from the sample. Its rows are those with the smallest hashes of their ids, so that it does not
     depend on how the table is dealt; the driver holds SAMPLE_DOCS * SAMPLE_BYTES of each language at most."""
-    fits = in_training(id_col) & F.col(lang_col).isNotNull() & F.octet_length(text_col).between(1, SAMPLE_BYTES)
-    picked = docs.filter(fits).select(F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    picked = picked.distinct().withColumn("n", place).filter(F.col("n") <= SAMPLE_DOCS)
-    keys = [(r.l, r.h) for r in picked.select("l", "h").collect()]
+    trains = in_training(id_col) & F.col(lang_col).isNotNull()
+    fits = trains & F.octet_length(text_col).between(1, SAMPLE_BYTES)
+    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
+    # Of n rows the least hashes lie below a bound that some more pass than are wanted: only those leave their tasks. Where
+    # it was too low after all, it is raised, up to all rows.
+    shares = {r.l: min(1.0, SPARE * SAMPLE_DOCS / r.n) for r in docs.filter(trains).groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()}
+    keys: list[tuple[str, int]] = []
+    while shares:
+        bounds = F.create_map(*[F.lit(x) for lang, share in shares.items() for x in (lang, int((share - 0.5) * 2**64) if share < 1 else 2**63 - 1)])
+        low = docs.filter(fits).select(F.col(lang_col).alias("l"), hashed.alias("h")).filter(F.col("h") <= F.try_element_at(bounds, F.col("l")))
+        found: dict[str, list[int]] = {}
+        for r in low.distinct().collect():
+            found.setdefault(r.l, []).append(r.h)
+        short = {lang: min(1.0, share * SPARE) for lang, share in shares.items() if share < 1 and len(found.get(lang, ())) < SAMPLE_DOCS}
+        keys += [(lang, h) for lang in shares if lang not in short for h in sorted(found.get(lang, ()))[:SAMPLE_DOCS]]
+        shares = short
     if not keys:
         return Model({})
-    hashed = F.xxhash64(F.col(id_col), F.col(text_col))
     rows = docs.filter(fits & hashed.isin([h for _, h in keys])).select(F.col(lang_col).alias("l"), hashed.alias("h"), F.col(text_col).alias("t")).distinct().collect()
     wanted, samples = set(keys), {}
     for r in sorted(rows, key=lambda r: (r.l, r.h, r.t)):

@@ -86,3 +86,17 @@ def test_rich_text_keeps_its_contexts():
     text = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(10_000)).encode()
     tree = langid._tree([text], langid.ORDER, langid.CONTEXTS)
     assert 5_000 < len(tree) <= 6_001
+
+
+def test_sample_is_of_the_least_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    texts = [(i, None if i % 11 == 0 else "x" * (i % 7 * 5_000), ("en", "de", None)[i % 3]) for i in range(400)]
+    docs = spark.createDataFrame([*texts, *texts[:50]], "doc_id long, text string, lang string").repartition(3)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 9)
+    monkeypatch.setattr(langid, "Model", lambda samples: samples)
+    rows = docs.filter(langid.in_training("doc_id") & F.octet_length("text").between(1, langid.SAMPLE_BYTES)).select("lang", F.xxhash64("doc_id", "text").alias("h"), "text").distinct().collect()
+    want = {x: [r.text.encode() for r in sorted((r for r in rows if r.lang == x), key=lambda r: r.h)[:9]] for x in ("en", "de")}
+    for spare in (1.2, 8, 1000):
+        monkeypatch.setattr(langid, "SPARE", spare)
+        assert langid.fit(docs) == want
