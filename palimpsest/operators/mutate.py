@@ -16,9 +16,21 @@ from palimpsest.operators.errors import Invalid
 from palimpsest.operators.visible import newest, visible
 
 
+def _fixed(rows: DataFrame) -> DataFrame:
+    """The same rows, whose partitions are as they are now: of one shuffle, which every pass reads.
+
+    In a plan that reads them twice a shuffle by range may be there twice. Each then draws bounds of its own, and is
+    joined to fewer partitions by its own sizes, so a row's partition and place in one are not those in the other.
+    """
+    spark = rows.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(rows._jdf.javaRDD(), rows._jdf.schema()), spark)
+
+
 def numbered(rows: DataFrame, first_seq: int, order: Sequence[str]) -> DataFrame:
-    """seq from first_seq on, in order. The rows are one batch's; partitions are numbered apart and shifted."""
-    own = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
+    """seq from first_seq on, dense, in order, nulls last. The rows are one batch's, and are dealt out by range as this
+    is called; partitions are numbered apart and shifted."""
+    by = [F.col(c).asc_nulls_last() for c in order]
+    own = _fixed(rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
     part = F.shiftright("__at", 33)
     place = F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
     own = own.withColumn("__part", part).withColumn("__place", place)

@@ -85,6 +85,23 @@ def test_numbered_is_dense_and_ordered(spark):
     assert {r.x: r.seq for r in rows} == {i: i + 5 for i in range(1000)}
 
 
+@pytest.fixture
+def many_parts(spark):
+    """Shuffles keep all their partitions, as those of large tables do."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield
+    spark.conf.set(name, was)
+
+
+def test_blocks_are_allocated_in_order_over_many_partitions(spark, many_parts):
+    n, m = 40_000, 30_000
+    free = spark.range(m).select(F.col("id").alias("place"), (F.col("id") * 3).alias("block_nr")).repartition(7)
+    rows = M.alloc_blocks(free, spark.range(n).select((F.col("id") * 7 % n).alias("k"), F.lit("x").alias("more")).repartition(5), 100_000, ["k"]).collect()
+    assert {r.k: r.block_nr for r in rows} == {i: (m - 1 - i) * 3 if i < m else 100_000 + i - m for i in range(n)} and len(rows) == n
+
+
 # -- the log
 
 
