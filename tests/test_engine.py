@@ -102,6 +102,16 @@ def test_blocks_are_allocated_in_order_over_many_partitions(spark, many_parts):
     assert {r.k: r.block_nr for r in rows} == {i: (m - 1 - i) * 3 if i < m else 100_000 + i - m for i in range(n)} and len(rows) == n
 
 
+def test_frames_of_a_commit_are_in_order_over_many_partitions(spark, many_parts):
+    n = 40_000
+    ino, off = F.floor(F.col("id") / 8), F.when(F.col("id") % 8 < 7, F.col("id") % 8)  # a null goes last, as in SQL
+    ops = spark.range(n).select(F.col("id").alias("v"), ino.alias("ino"), off.alias("off"), F.lit(0).alias("kind")).repartition(7)
+    frames, next_seq, _ = J.commit(ops, 500, 500, ["ino", "off"])
+    rows = frames.collect()
+    assert sorted((r.seq, r.is_commit, r.v) for r in rows)[:-1] == [(500 + i, False, i) for i in range(n)]
+    assert next_seq == 501 + n and [(r.seq, r.v) for r in rows if r.is_commit] == [(500 + n, None)]
+
+
 # -- the log
 
 
