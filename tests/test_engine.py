@@ -112,6 +112,21 @@ def test_frames_of_a_commit_are_in_order_over_many_partitions(spark, many_parts)
     assert next_seq == 501 + n and [(r.seq, r.v) for r in rows if r.is_commit] == [(500 + n, None)]
 
 
+def test_inodes_are_made_in_order_over_many_partitions(spark, many_parts):
+    n = 30_000
+    names = spark.createDataFrame([(1, "n0")], "parent_ino long, name string")
+    name = F.when(F.col("id") % 3 == 1, "twin").otherwise(F.concat(F.lit("n"), F.col("id")))
+    asked = spark.range(n).select(F.col("id").alias("req"), F.lit(1).cast("long").alias("parent_ino"), name.alias("name"), F.lit(1).alias("file_kind"), F.lit(0o644).alias("mode"), F.lit(7).alias("uid"), F.lit(8).alias("gid"), F.lit("").alias("target"))
+    rows = N.make(names, asked.repartition(7), 900, 5).collect()
+    ok = [i for i in range(1, n) if i % 3 != 1 or i == 1]
+    assert sorted((r.req, r.ino) for r in rows if r.verdict == "ok") == [(i, 900 + at) for at, i in enumerate(ok)]
+    assert len(rows) == n and {r.verdict for r in rows} == {"ok", "already exists"}
+
+
+def test_numbered_without_rows(spark):
+    assert U.numbered(spark.range(0), 5, ["id"]).collect() == []
+
+
 # -- the log
 
 
