@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from palimpsest.llm import components as c
 from palimpsest.llm import jaccard as j
 
 SCHEMA = "doc_id long, text string, node string, n long, component_id string"
@@ -121,3 +122,34 @@ def test_empty(spark):
     assert run(spark, [(1, "a b c d e f")])[0][2] == 1
     docs = spark.createDataFrame([], SCHEMA)
     assert j.join(docs).count() == 0
+
+
+def test_components_of_few_links_take_few_jobs(spark, monkeypatch):
+    rnd = np.random.default_rng(3)
+    chain = rnd.permutation(np.arange(-300, 300))
+    links = [*zip(chain[:-1].tolist(), chain[1:].tolist(), strict=True), *((1000 + int(a), 1000 + int(b)) for a, b in rnd.integers(0, 400, (220, 2)))]
+    df = spark.createDataFrame(links, "a long, b long")
+    up = {n: n for link in links for n in link}
+    while any(up[a] != up[b] for a, b in links):
+        for a, b in links:
+            up[a] = up[b] = min(up[a], up[b])
+    sc = spark.sparkContext
+    sc.setJobGroup("few-links", "")
+    got = c.components(df)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("few-links")) <= 6
+    assert {tuple(r) for r in got.collect()} == set(up.items())
+    assert c.components(df.limit(0)).collect() == []
+    monkeypatch.setattr(c, "GATHERED", 0)
+    assert sorted(tuple(r) for r in c.components(spark.createDataFrame([(3, 7), (5, 7), (4, 9)], "a long, b long")).collect()) == [(3, 3), (4, 4), (5, 3), (7, 3), (9, 4)]
+
+
+def test_large_shuffles_are_not_on_disk_together(spark, monkeypatch):
+    done = []
+    stage, swept = j.stage, j.swept
+    monkeypatch.setattr(j, "stage", lambda df, label, **o: (done.append(label), stage(df, label, **o))[1])
+    monkeypatch.setattr(j, "swept", lambda s: (done.append("swept"), swept(s))[1])
+    rows = corpus(5)
+    got = j.join(spark.createDataFrame([(d, t) for d, t in rows], "doc_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=str) == brute(rows)
+    assert done.index("tiles") < done.index("swept") < done.index("nodes") and "meetings" in done
