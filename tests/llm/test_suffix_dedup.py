@@ -62,6 +62,21 @@ def test_against_brute_force(spark, seed):
     assert run(spark, texts) == brute(texts, 400)
 
 
+def test_planted_passages_count_by_their_bytes(spark):
+    rnd = random.Random(6)
+    text = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(1, 6))) for _ in range(n))
+    texts, want = [], []
+    for size in (260, 399, 400, 401, 800):
+        passage = text(size)[:size]
+        assert len(passage.split()) > 50
+        # Between bytes that differ, so that no more than the passage repeats.
+        texts += [text(40) + "<" + passage + ">" + text(90), text(300) + "[" + passage + "]", "(" + passage + ")" + text(5), text(200)]
+        want += [size if size >= 400 else 0] * 3 + [0]
+    got = run(spark, texts)
+    assert [r[1] for r in got] == want
+    assert got == brute(texts, 400)
+
+
 def test_hot_classes_and_small_queues(spark, monkeypatch):
     monkeypatch.setattr(s, "HOT", 2)
     monkeypatch.setattr(s, "RUN", 3)
